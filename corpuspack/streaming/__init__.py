@@ -1,0 +1 @@
+"""Empty on purpose: packing is a batch job and has no streaming operators."""
