@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuspack.operators.ordered import ordered_blocks
 
@@ -193,18 +194,20 @@ def _replay(budget: int, columns: list[str]):
 
 
 def assign_chunks(files: DataFrame, budget: int) -> DataFrame:
-    """Chunk number of each file: ``(repo, path, tokens)`` in, plus ``chunk`` out.
+    """Add ``chunk`` to file metadata holding ``repo``, ``path`` and ``tokens``.
 
-    Only these narrow columns are ordered and folded; text never travels here.
+    The other columns travel along untouched, which spares joining the result back.
+    Texts must not be among them.
     """
-    blocks = ordered_blocks(files.select("repo", "path", "tokens"), ["repo", "path"])
+    columns = files.columns
+    blocks = ordered_blocks(files, ["repo", "path"])
     summaries = blocks.select("repo", "tokens", "block").mapInArrow(_summarise(budget), _SUMMARY)
     entries = (
         summaries.coalesce(1).sortWithinPartitions("block").mapInArrow(_entry_states(budget), _ENTRY)
     )
     # One row per block, so the broadcast is bounded by the number of partitions.
     started = blocks.join(F.broadcast(entries), "block", "left")
-    columns = ["repo", "path", "tokens"]
+    schema = T.StructType([*files.schema.fields, T.StructField("chunk", T.LongType())])
     return started.select(*columns, "entry_starts", "entry_running").mapInArrow(
-        _replay(budget, columns), "repo string, path string, tokens bigint, chunk bigint"
+        _replay(budget, columns), schema
     )

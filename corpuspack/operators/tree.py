@@ -1,4 +1,9 @@
-"""File trees as tables: nodes, sibling order and drawn lines."""
+"""File trees as tables: nodes, directory families and drawn lines.
+
+A *family* is a directory with what its children need to know: the prefix of their
+lines and which child comes last. Families are far fewer than files, so all the
+work on tree structure happens on them, and files meet their family in one join.
+"""
 
 from __future__ import annotations
 
@@ -7,92 +12,148 @@ from pyspark.sql import functions as F
 
 from corpuspack.functions.text import base_name, parent_dir, tree_key
 from corpuspack.operators.select import ancestor_dirs
+from corpuspack.session import materialised
 
 _DOCUMENT = ["repo", "output"]
+_FAMILY = [*_DOCUMENT, "dir"]
 _LAST, _INNER = "└── ", "├── "
 _GAP, _BAR = "    ", "│   "
 
 
-def _directories(files: DataFrame) -> DataFrame:
-    """Distinct directories of each document.
+def _self_and_above(dir_key: Column) -> Column:
+    return ancestor_dirs(F.concat(dir_key, F.lit("/")))
 
-    Files are reduced to distinct parents before their ancestors are listed, so the
-    expansion is over directories, not files.
-    """
-    parents = files.select(*_DOCUMENT, parent_dir(F.col("path")).alias("dir")).where("dir <> ''").distinct()
-    above = ancestor_dirs(F.concat("dir", F.lit("/")))
-    return parents.select(*_DOCUMENT, F.explode(above).alias("node_path")).distinct()
 
+def _directories(leaves: DataFrame) -> DataFrame:
+    """Distinct directories, from those that hold files and everything above them."""
+    above = leaves.where(F.col("dir") != "").select(
+        *_DOCUMENT, F.explode(_self_and_above(F.col("dir"))).alias("node_path")
+    )
+    return above.distinct().select(
+        *_DOCUMENT,
+        "node_path",
+        parent_dir(F.col("node_path")).alias("dir"),
+        F.size(F.split("node_path", "/")).alias("depth"),
+        base_name(F.col("node_path")).alias("name"),
+    )
 
-def tree_nodes(files: DataFrame) -> DataFrame:
-    """Every directory and file of each document once."""
-    return (
-        _directories(files)
-        .withColumn("is_dir", F.lit(True))
-        .unionByName(files.select(*_DOCUMENT, F.col("path").alias("node_path"), F.lit(False).alias("is_dir")))
-        .select(
-            *_DOCUMENT,
-            "node_path",
-            parent_dir(F.col("node_path")).alias("parent"),
-            F.size(F.split("node_path", "/")).alias("depth"),
-            base_name(F.col("node_path")).alias("name"),
-            "is_dir",
-        )
+
+def _leaves(files: DataFrame) -> DataFrame:
+    """Directories that hold files, each with totals of its own files."""
+    named = files.select(
+        *_DOCUMENT, parent_dir(F.col("path")).alias("dir"), base_name(F.col("path")).alias("name")
+    )
+    return named.groupBy(*_FAMILY).agg(
+        F.count("*").alias("n_files"),
+        F.sum(F.octet_length("name")).alias("file_name_bytes"),
+        F.max("name").alias("last_file"),
     )
 
 
-def _sibling_key() -> Column:
-    """Directories before files, each by name."""
-    return F.struct((~F.col("is_dir")).alias("is_file"), F.col("name"))
+def tree_nodes(files: DataFrame) -> DataFrame:
+    """Every directory and file of each document once."""
+    dirs = _directories(files.select(*_DOCUMENT, parent_dir(F.col("path")).alias("dir")).distinct())
+    own = files.select(
+        *_DOCUMENT,
+        F.col("path").alias("node_path"),
+        parent_dir(F.col("path")).alias("dir"),
+        F.size(F.split("path", "/")).alias("depth"),
+        base_name(F.col("path")).alias("name"),
+    )
+    return dirs.withColumn("is_dir", F.lit(True)).unionByName(own.withColumn("is_dir", F.lit(False)))
 
 
 def _prefixes(dirs: DataFrame) -> DataFrame:
-    """What precedes the connector on every line inside a directory.
+    """What precedes the connector on the lines inside each directory.
 
     Each level contributes a bar, or a gap below a last child. Grouping is per
     directory, so a group holds as many rows as the directory has levels.
     """
-    ancestors = ancestor_dirs(F.concat("node_path", F.lit("/")))
     levels = dirs.select(
-        *_DOCUMENT, F.col("node_path").alias("parent"), F.explode(ancestors).alias("ancestor")
+        *_DOCUMENT, F.col("node_path").alias("dir"), F.explode(_self_and_above(F.col("node_path"))).alias("above")
     )
     marks = dirs.select(
         *_DOCUMENT,
-        F.col("node_path").alias("ancestor"),
+        F.col("node_path").alias("above"),
         "depth",
         F.when(F.col("is_last"), _GAP).otherwise(_BAR).alias("mark"),
     )
-    per_dir = levels.join(marks, [*_DOCUMENT, "ancestor"]).groupBy(*_DOCUMENT, "parent")
     ordered = F.array_sort(F.collect_list(F.struct("depth", "mark")))
-    return per_dir.agg(F.array_join(F.transform(ordered, lambda level: level["mark"]), "").alias("prefix"))
+    prefix = F.array_join(F.transform(ordered, lambda level: level["mark"]), "")
+    return levels.join(marks, [*_DOCUMENT, "above"]).groupBy(*_FAMILY).agg(prefix.alias("prefix"))
 
 
-def tree_lines(files: DataFrame) -> DataFrame:
+def tree_families(files: DataFrame) -> DataFrame:
+    """One row per directory of each document, the top (an empty ``dir``) included.
+
+    Directories come before files, so a directory is a last child only where its parent
+    holds no files. The last child comes from an aggregate, which combines map-side, and
+    not from a window that would gather all siblings in one task.
+    """
+    leaves = materialised(_leaves(files), "leaves")
+    dirs = _directories(leaves)
+    below = dirs.groupBy(*_FAMILY).agg(
+        F.count("*").alias("n_dirs"),
+        F.sum(F.octet_length("name") + 1).alias("dir_name_bytes"),
+        F.max("name").alias("last_dir"),
+    )
+    families = leaves.join(below, _FAMILY, "full")
+    last = F.col("last_file").isNull() & (F.col("name") == F.col("last_dir"))
+    placed = dirs.join(families.select(*_FAMILY, "last_file", "last_dir"), _FAMILY).withColumn("is_last", last)
+    zero = F.lit(0).cast("bigint")
+    return (
+        families.join(_prefixes(placed), _FAMILY, "left")
+        .select(
+            *_FAMILY,
+            F.coalesce("prefix", F.lit("")).alias("prefix"),
+            "last_file",
+            "last_dir",
+            (F.coalesce("n_files", zero) + F.coalesce("n_dirs", zero)).alias("n_children"),
+            (F.coalesce("file_name_bytes", zero) + F.coalesce("dir_name_bytes", zero)).alias("name_bytes"),
+        )
+    )
+
+
+def _line(name: Column, is_last: Column, tail: str) -> Column:
+    return F.concat("prefix", F.when(is_last, _LAST).otherwise(_INNER), name, F.lit(f"{tail}\n"))
+
+
+def tree_lines(files: DataFrame, families: DataFrame) -> DataFrame:
     """One drawn line per node, with the key that puts the lines in order.
 
-    The last child of a directory comes from an aggregate, which combines map-side, and
-    not from a window that would gather all siblings. Nodes then meet their directory in
-    a single join that adaptive execution can broadcast, or split where a directory is huge.
+    ``families`` has a known size: the join broadcasts it if it is small, and adaptive
+    execution splits a directory with very many files otherwise.
     """
-    nodes = tree_nodes(files)
-    last_child = nodes.groupBy(*_DOCUMENT, "parent").agg(F.max(_sibling_key()).alias("last_child"))
-    dirs = (
-        nodes.where("is_dir")
-        .join(last_child, [*_DOCUMENT, "parent"])
-        .select(*_DOCUMENT, "node_path", "depth", (_sibling_key() == F.col("last_child")).alias("is_last"))
+    file_lines = (
+        files.select(*_DOCUMENT, F.col("path").alias("node_path"), parent_dir(F.col("path")).alias("dir"))
+        .join(families.select(*_FAMILY, "prefix", "last_file"), _FAMILY)
+        .select(
+            *_DOCUMENT,
+            "node_path",
+            tree_key(F.col("node_path"), F.lit(False)).alias("sort_key"),
+            _line(base_name(F.col("node_path")), base_name(F.col("node_path")) == F.col("last_file"), "").alias("line"),
+        )
     )
-    families = last_child.join(_prefixes(dirs), [*_DOCUMENT, "parent"], "left")
-    lines = nodes.join(families, [*_DOCUMENT, "parent"])
-    connector = F.when(_sibling_key() == F.col("last_child"), _LAST).otherwise(_INNER)
-    return lines.select(
+    own_lines = families.where(F.col("dir") != "").select(
+        *_DOCUMENT,
+        F.col("dir").alias("node_path"),
+        parent_dir(F.col("dir")).alias("dir"),
+        base_name(F.col("dir")).alias("name"),
+    )
+    last = F.col("last_file").isNull() & (F.col("name") == F.col("last_dir"))
+    dir_lines = own_lines.join(
+        families.select(*_FAMILY, "prefix", "last_file", "last_dir"), _FAMILY
+    ).select(
         *_DOCUMENT,
         "node_path",
-        tree_key(F.col("node_path"), F.col("is_dir")).alias("sort_key"),
-        F.concat(
-            F.coalesce("prefix", F.lit("")),
-            connector,
-            F.col("name"),
-            F.when(F.col("is_dir"), "/").otherwise(""),
-            F.lit("\n"),
-        ).alias("line"),
+        tree_key(F.col("node_path"), F.lit(True)).alias("sort_key"),
+        _line(F.col("name"), last, "/").alias("line"),
     )
+    return file_lines.unionByName(dir_lines)
+
+
+def tree_bytes(families: DataFrame) -> DataFrame:
+    """Length of each document's tree lines, without drawing them."""
+    per_line = F.octet_length("prefix") + len(f"{_INNER}\n".encode())
+    size = F.col("n_children") * per_line + F.col("name_bytes")
+    return families.groupBy(*_DOCUMENT).agg(F.sum(size).alias("bytes"))

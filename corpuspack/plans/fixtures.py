@@ -8,6 +8,8 @@ directories, colliding document names (``a.b/`` and ``a/b/``), colliding anchors
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuspack.config import PackConfig
@@ -135,14 +137,12 @@ from v_docs
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view over the parquet tables in ``sf_dir``."""
+    wanted, steps = {"v_listings": _LISTINGS, "v_raw": _RAW}.get(name, f"select * from {name}"), []
+    for other, sql in reversed(SPARK_VIEWS.items()):
+        if any(re.search(rf"\b{other}\b", text) for text in [wanted, *(s for _, s in steps)]):
+            steps.insert(0, (other, sql))
     for table in ("documents", "pages"):
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    if name in ("documents", "pages"):
-        return spark.table(name)
-    for other, sql in SPARK_VIEWS.items():
-        spark.sql(sql).createOrReplaceTempView(other)
-    if name == "v_listings":
-        return spark.sql(_LISTINGS)
-    if name == "v_raw":
-        return spark.sql(_RAW)
-    return spark.table(name)
+        if any(re.search(rf"\b{table}\b", text) for text in [wanted, *(s for _, s in steps)]):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    common = ", ".join(f"{other} as ({sql})" for other, sql in steps)
+    return spark.sql(f"with {common} {wanted}" if steps else wanted)

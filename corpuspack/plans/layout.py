@@ -94,11 +94,10 @@ def _split(meta: DataFrame, config: PackConfig) -> Layout:
 
 
 def _chunk(meta: DataFrame, config: PackConfig) -> Layout:
-    chunks = materialised(assign_chunks(meta, config.chunk_tokens), "chunks")
+    files = materialised(assign_chunks(meta, config.chunk_tokens), "chunks")
     document = document_name(F.col("repo"), config.output_name)
-    files = meta.join(chunks.select("repo", "path", "chunk"), ["repo", "path"])
     per_chunk = files.groupBy("repo", "chunk").agg(*_totals())
-    parts = chunks.groupBy("repo").agg(F.max("chunk").alias("parts"))
+    parts = per_chunk.groupBy("repo").agg(F.max("chunk").alias("parts"))
     label = F.format_string("Part %d of %d", "chunk", "parts")
     documents = per_chunk.join(parts, "repo").select(
         "repo",

@@ -21,8 +21,10 @@ from corpuspack.operators.select import (
     selected_files,
     with_decisions,
 )
+from corpuspack.operators.tree import tree_families
 from corpuspack.plans import render, report
 from corpuspack.plans.layout import Layout, lay_out
+from corpuspack.plans.sink import write_documents
 from corpuspack.session import materialised
 from corpuspack.sources.ignore import ignore_regexes
 from corpuspack.sources.remote import blob_join, tree_entries, truncated_listings
@@ -100,6 +102,12 @@ class Pack:
     def anchored(self) -> DataFrame:
         return with_anchors(self.layout.files)
 
+    @cached_property
+    def families(self) -> DataFrame | None:
+        if not self.config.tree:
+            return None
+        return materialised(tree_families(self.layout.files), "families")
+
     def selected(self) -> DataFrame:
         """``(repo, path, size_bytes)`` of the files a run would include."""
         return self.decisions.where(F.col("decision") == INCLUDE).drop("pruned_dir", "decision")
@@ -107,11 +115,21 @@ class Pack:
     def fragments(self) -> DataFrame:
         """The documents, as ordered rows; see ``corpuspack.schema.FRAGMENTS``."""
         contents = prepared(self.candidates, self.config).select("repo", "path", "content")
-        return render.fragments(self.layout, self.anchored, contents, self.config)
+        return render.fragments(self.layout, self.anchored, self.families, contents, self.config)
+
+    def documents(self) -> DataFrame:
+        """Whole documents as single strings: chunk mode only, whose documents are bounded."""
+        if self.config.mode != "chunk":
+            raise ValueError("only chunk mode bounds its documents; use fragments or write")
+        return render.bounded_documents(self.fragments())
+
+    def write(self, folder: str) -> None:
+        """Write the documents as text below ``folder``."""
+        write_documents(self.fragments(), folder)
 
     @cached_property
     def _outputs(self) -> DataFrame:
-        sizes = render.document_sizes(self.layout, self.anchored, self.config)
+        sizes = render.document_sizes(self.layout, self.anchored, self.families, self.config)
         return materialised(report.outputs(sizes), "outputs")
 
     def outputs(self) -> DataFrame:

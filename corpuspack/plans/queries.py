@@ -13,6 +13,7 @@ from corpuspack.operators import select
 from corpuspack.operators.chunks import assign_chunks
 from corpuspack.operators.names import split_names as unique_split_names
 from corpuspack.operators.names import with_anchors
+from corpuspack.operators.tree import tree_families
 from corpuspack.operators.tree import tree_lines as drawn_tree
 from corpuspack.operators.tree import tree_nodes as nodes_of
 from corpuspack.plans import render, report
@@ -20,6 +21,7 @@ from corpuspack.plans.fixtures import CONFIG, view
 from corpuspack.plans.layout import split_groups as groups_of
 from corpuspack.plans.pack import Pack, as_text_files, file_meta, pack_files, pack_listing, prepared, with_language
 from corpuspack.schema import FRAGMENT_ORDER
+from corpuspack.session import materialised
 from corpuspack.sources import ignore, references, remote
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,16 +291,20 @@ def anchor_dedup(spark, sf_dir):
     return with_anchors(files).select("repo", "output", "path", "anchor")
 
 
+def _chunk_input(meta):
+    return meta.select("repo", "path", "tokens")
+
+
 @query
 def chunk_assign(spark, sf_dir):
-    return assign_chunks(_documents_meta(spark, sf_dir), CHUNK.chunk_tokens)
+    return assign_chunks(_chunk_input(_documents_meta(spark, sf_dir)), CHUNK.chunk_tokens)
 
 
 @query
 def chunk_assign_one_repo(spark, sf_dir):
     """The same with three quarters of all files in one repository."""
     meta = file_meta(with_language(view(spark, sf_dir, "v_mono")))
-    return assign_chunks(meta, 4_000)
+    return assign_chunks(_chunk_input(meta), 4_000)
 
 
 @query
@@ -318,7 +324,8 @@ def tree_nodes(spark, sf_dir):
 @query
 def tree_lines(spark, sf_dir):
     files = _as_document(view(spark, sf_dir, "v_mono").select("repo", "path"))
-    return drawn_tree(files).select("repo", "node_path", "sort_key", "line")
+    families = materialised(tree_families(files), "families")
+    return drawn_tree(files, families).select("repo", "node_path", "sort_key", "line")
 
 
 def _fragments(spark, sf_dir, config=CONFIG, source="v_files"):
@@ -334,7 +341,7 @@ def _widened(fragments):
 def tree_document(spark, sf_dir):
     run = _run(spark, sf_dir, SPLIT)
     fixed = render.fixed_fragments(run.layout.documents, SPLIT).where(F.col("section") == render.TREE)
-    return _widened(fixed.unionByName(render.tree_fragments(run.layout.files)))
+    return _widened(fixed.unionByName(render.tree_fragments(run.layout.files, run.families)))
 
 
 # Rendering
@@ -381,7 +388,7 @@ def document_fragments_plain(spark, sf_dir):
 @query
 def chunk_documents(spark, sf_dir):
     """Whole documents; the token budget bounds each."""
-    return render.bounded_documents(_fragments(spark, sf_dir, CHUNK))
+    return _run(spark, sf_dir, CHUNK).documents()
 
 
 # Reports

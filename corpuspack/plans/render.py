@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpuspack.config import PackConfig
 from corpuspack.functions.text import kilobytes, repo_name
-from corpuspack.operators.tree import tree_lines
+from corpuspack.operators.tree import tree_bytes, tree_lines
 from corpuspack.plans.layout import Layout
 from corpuspack.schema import FRAGMENT_ORDER
 
@@ -144,8 +144,8 @@ def toc_fragments(anchored: DataFrame) -> DataFrame:
     return _body_rows(anchored, TOC, F.col("path"), toc_line())
 
 
-def tree_fragments(files: DataFrame) -> DataFrame:
-    return _body_rows(tree_lines(files), TREE, F.col("sort_key"), F.col("line"))
+def tree_fragments(files: DataFrame, families: DataFrame) -> DataFrame:
+    return _body_rows(tree_lines(files, families), TREE, F.col("sort_key"), F.col("line"))
 
 
 def file_fragments(anchored: DataFrame, contents: DataFrame) -> DataFrame:
@@ -155,27 +155,32 @@ def file_fragments(anchored: DataFrame, contents: DataFrame) -> DataFrame:
     return _body_rows(joined, FILES, F.col("path"), text)
 
 
-def fragments(layout: Layout, anchored: DataFrame, contents: DataFrame, config: PackConfig) -> DataFrame:
+def fragments(
+    layout: Layout,
+    anchored: DataFrame,
+    families: DataFrame | None,
+    contents: DataFrame,
+    config: PackConfig,
+) -> DataFrame:
     """All fragments of all documents; switched-off sections are left out of the union."""
     parts = fixed_fragments(layout.documents, config)
     if config.toc:
         parts = parts.unionByName(toc_fragments(anchored))
     if config.tree:
-        parts = parts.unionByName(tree_fragments(layout.files))
+        parts = parts.unionByName(tree_fragments(layout.files, families))
     return parts.unionByName(file_fragments(anchored, contents)).select(_COLUMNS)
 
 
-def document_sizes(layout: Layout, anchored: DataFrame, config: PackConfig) -> DataFrame:
+def document_sizes(
+    layout: Layout, anchored: DataFrame, families: DataFrame | None, config: PackConfig
+) -> DataFrame:
     """Bytes of each document, added up from the lengths of its fragments."""
     size = F.octet_length(section_opening()) + F.col("body_bytes") + len(SECTION_CLOSING.encode())
     if config.toc:
         size = size + F.octet_length(toc_line())
-    parts = anchored.select("repo", "output", size.cast("bigint").alias("bytes"))
+    parts = anchored.groupBy("repo", "output").agg(F.sum(size).alias("bytes"))
     if config.tree:
-        lines = tree_lines(layout.files)
-        parts = parts.unionByName(
-            lines.select("repo", "output", F.octet_length("line").cast("bigint").alias("bytes"))
-        )
+        parts = parts.unionByName(tree_bytes(families))
     variable = parts.groupBy("repo", "output").agg(F.sum("bytes").alias("variable"))
     fixed = sum((F.octet_length(text) for _, _, text in _fixed_pieces(config)), F.lit(0)).cast("bigint")
     return layout.documents.join(variable, ["repo", "output"]).select(
@@ -184,7 +189,7 @@ def document_sizes(layout: Layout, anchored: DataFrame, config: PackConfig) -> D
 
 
 def bounded_documents(all_fragments: DataFrame) -> DataFrame:
-    """Whole documents as single strings. Only for chunk mode, where the token budget bounds them."""
+    """Whole documents as single strings. For chunk mode only, where the token budget bounds them."""
     order = F.struct(*FRAGMENT_ORDER[2:])
     pieces = F.array_sort(F.collect_list(F.struct(order.alias("order"), F.col("fragment"))))
     text = F.array_join(F.transform(pieces, lambda p: p["fragment"]), "")

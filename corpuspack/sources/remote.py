@@ -40,9 +40,9 @@ def truncated_listings(listings: DataFrame) -> DataFrame:
 def blob_join(entries: DataFrame, blobs: DataFrame, wanted: Column | None = None) -> DataFrame:
     """Add ``content`` by ``(repo, sha)``; null where the blob is missing or not wanted.
 
-    Unwanted entries get no key, so they are not sent looking for a match.
+    Unwanted entries keep their own hash as key, so they stay spread over the partitions.
     """
-    key = F.col("sha") if wanted is None else F.when(wanted, F.col("sha"))
-    keyed = entries.withColumn("blob_sha", key)
-    found = blobs.select("repo", F.col("sha").alias("blob_sha"), "content")
-    return keyed.join(found, ["repo", "blob_sha"], "left").drop("blob_sha")
+    sides = entries.alias("e"), blobs.select("repo", "sha", "content").alias("b")
+    same = (F.col("e.repo") == F.col("b.repo")) & (F.col("e.sha") == F.col("b.sha"))
+    joined = sides[0].join(sides[1], same if wanted is None else same & wanted, "left")
+    return joined.select("e.*", "b.content")
