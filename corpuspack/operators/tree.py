@@ -92,26 +92,31 @@ def tree_families(files: DataFrame) -> DataFrame:
     """
     leaves = materialised(_leaves(files), "leaves")
     dirs = _directories(leaves)
-    below = dirs.groupBy(*_FAMILY).agg(
-        F.count("*").alias("n_dirs"),
-        F.sum(F.octet_length("name") + 1).alias("dir_name_bytes"),
-        F.max("name").alias("last_dir"),
+    zero, no_name = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+    as_child = dirs.select(
+        *_FAMILY,
+        zero.alias("n_files"),
+        zero.alias("file_name_bytes"),
+        no_name.alias("last_file"),
+        F.lit(1).cast("bigint").alias("n_dirs"),
+        (F.octet_length("name") + 1).cast("bigint").alias("dir_name_bytes"),
+        F.col("name").alias("last_dir"),
     )
-    families = leaves.join(below, _FAMILY, "full")
-    last = F.col("last_file").isNull() & (F.col("name") == F.col("last_dir"))
-    placed = dirs.join(families.select(*_FAMILY, "last_file", "last_dir"), _FAMILY).withColumn("is_last", last)
-    zero = F.lit(0).cast("bigint")
-    return (
-        families.join(_prefixes(placed), _FAMILY, "left")
-        .select(
-            *_FAMILY,
-            F.coalesce("prefix", F.lit("")).alias("prefix"),
-            "last_file",
-            "last_dir",
-            (F.coalesce("n_files", zero) + F.coalesce("n_dirs", zero)).alias("n_children"),
-            (F.coalesce("file_name_bytes", zero) + F.coalesce("dir_name_bytes", zero)).alias("name_bytes"),
+    as_parent = leaves.withColumns({"n_dirs": zero, "dir_name_bytes": zero, "last_dir": no_name})
+    families = (
+        as_parent.unionByName(as_child)
+        .groupBy(*_FAMILY)
+        .agg(
+            F.max("last_file").alias("last_file"),
+            F.max("last_dir").alias("last_dir"),
+            (F.sum("n_files") + F.sum("n_dirs")).alias("n_children"),
+            (F.sum("file_name_bytes") + F.sum("dir_name_bytes")).alias("name_bytes"),
         )
     )
+    last = F.col("last_file").isNull() & (F.col("name") == F.col("last_dir"))
+    placed = dirs.join(families.select(*_FAMILY, "last_file", "last_dir"), _FAMILY)
+    prefixes = _prefixes(placed.select(*_DOCUMENT, "node_path", "depth", last.alias("is_last")))
+    return families.join(prefixes, _FAMILY, "left").withColumn("prefix", F.coalesce("prefix", F.lit("")))
 
 
 def _line(name: Column, is_last: Column, tail: str) -> Column:
