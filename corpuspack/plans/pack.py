@@ -148,6 +148,9 @@ class Pack:
     def summary(self) -> DataFrame:
         """One row per repository with counts, totals and status."""
         counts = decision_counts(self.decisions)
+        if self.listings is not None:
+            # A listing without any file still is a run, one that matched nothing.
+            counts = self.listings.select("repo").join(counts, "repo", "left").fillna(0)
         return report.run_summary(counts, self.outputs(), self.warnings(), self.config)
 
     def dry_run(self) -> DataFrame:
