@@ -14,10 +14,11 @@ STRIPPABLE = (
 # never closed runs to the end of the text. A block comment that is never closed
 # swallows all but the last character.
 _LITERAL_OR_COMMENT = (
+    r"(?=[\"'/])(?:"
     r'("[^"\\]*+(?:\\[\s\S][^"\\]*+)*+(?:"|\\?\z)'
     r"|'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+(?:'|\\?\z))"
     r"|//[^\n]*+"
-    r"|/\*(?:[\s\S]*?\*/|[\s\S]*(?=[\s\S]\z)|\z)"
+    r"|/\*(?:[\s\S]*?\*/|[\s\S]*(?=[\s\S]\z)|\z))"
 )
 
 

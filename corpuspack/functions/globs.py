@@ -87,29 +87,53 @@ def _extended(glob: str) -> str | None:
     return None if in_braces else "".join(pieces)
 
 
+def _alternatives(patterns: list[str], prefix: str) -> list[str]:
+    return [f"{prefix}(?:{'|'.join(patterns)})"] if patterns else []
+
+
 def glob_regex(globs: Iterable[str]) -> str:
-    """One Java regular expression that finds a match iff any glob matches the path."""
-    plain: list[str] = []
+    """One Java regular expression that finds a match iff any glob matches the path.
+
+    Globs that may start below any directory share one leading group, so a path is
+    searched for its possible starting points once and not once per glob.
+    """
+    rooted: list[str] = []
+    anywhere: list[str] = []
     whole: list[str] = []
     names: list[str] = []
     for glob in globs:
         glob = glob.replace("\\", "/")
-        anywhere = not glob.startswith("**")
-        plain.append(("(?:.+/)?" if anywhere else "") + _plain(glob))
+        unanchored = not glob.startswith("**")
+        plain = _plain(glob)
+        if unanchored or plain.startswith(_WILDCARDS["**/"]):
+            anywhere.append(plain.removeprefix(_WILDCARDS["**/"]))
+        else:
+            rooted.append(plain)
         # Without brackets and braces the plain reading already covers the extended one.
         if any(mark in glob for mark in "[]{}"):
             extended = _extended(glob)
             if extended is not None:
-                whole.append(("(?:.*/)?" if anywhere else "") + extended)
+                whole.append(("(?:.*/)?" if unanchored else "") + extended)
                 names.append(extended)
-    if not plain:
+    plain_forms = rooted + _alternatives(anywhere, _WILDCARDS["**/"])
+    if not plain_forms:
         return _MATCHES_NOTHING
-    regex = rf"(?i:\A(?:{'|'.join(plain)})\z)"
+    regex = rf"(?i:\A(?:{'|'.join(plain_forms)})\z)"
     if whole:
         regex += rf"|\A(?:{'|'.join(whole)})\z|(?:\A|/)(?=[^/]*\z)(?:{'|'.join(names)})\z"
     return regex
 
 
+def walk_globs(globs: Iterable[str]) -> list[str]:
+    """Globs that can hide a directory without matching all files below it.
+
+    A directory is hidden when a file ``x`` in it would match. A glob ending in ``/**``
+    then matches everything below too, and one that cannot match a name ``x`` hides
+    nothing. Only what is left needs the directories above a file to be looked at.
+    """
+    return [g for g in globs if g != "**" and not g.endswith("/**") and g and g[-1] in "*?]}xX"]
+
+
 def matches_globs(path: Column, globs: Iterable[str]) -> Column:
     """True where ``path`` matches any of the globs known on the driver."""
     return path.rlike(glob_regex(globs))

@@ -19,7 +19,7 @@ def base_name(path: Column) -> Column:
 
 def parent_dir(path: Column) -> Column:
     """Directory part of a path; empty at the top level."""
-    return F.regexp_extract(path, r"\A([\s\S]*)/[^/]*\z", 1)
+    return F.left(path, F.length(path) - F.length(base_name(path)) - 1)
 
 
 def repo_name(repo: Column) -> Column:

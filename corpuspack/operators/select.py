@@ -12,7 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuspack.config import PackConfig
-from corpuspack.functions.globs import DEFAULT_EXCLUDES, glob_regex, matches_globs, matches_regex_column
+from corpuspack.functions.globs import (
+    DEFAULT_EXCLUDES,
+    glob_regex,
+    matches_globs,
+    matches_regex_column,
+    walk_globs,
+)
 from corpuspack.functions.text import parent_dir
 
 INCLUDE = "include"
@@ -45,14 +51,19 @@ def exclude_sources(config: PackConfig, files: DataFrame, ignore_patterns: DataF
 
 
 def ancestor_dirs(path: Column) -> Column:
-    """Directories above a path, outermost first."""
+    """Directories above a path, outermost first.
+
+    The names are bound by an outer one-element ``transform``: inside the inner one
+    they would be split again for every level.
+    """
     names = F.split(parent_dir(path), "/")
-    return F.when(
-        F.instr(path, "/") > 0,
-        F.transform(
-            F.sequence(F.lit(1), F.size(names)), lambda depth: F.array_join(F.slice(names, 1, depth), "/")
+    per_level = F.transform(
+        F.array(names),
+        lambda parts: F.transform(
+            F.sequence(F.lit(1), F.size(parts)), lambda depth: F.array_join(F.slice(parts, 1, depth), "/")
         ),
-    ).otherwise(F.array().cast("array<string>"))
+    )
+    return F.when(F.instr(path, "/") > 0, per_level[0]).otherwise(F.array().cast("array<string>"))
 
 
 def topmost_pruned_dir(path: Column, excluded: Callable[[Column], Column]) -> Column:
@@ -63,15 +74,52 @@ def topmost_pruned_dir(path: Column, excluded: Callable[[Column], Column]) -> Co
     return F.get(F.filter(ancestor_dirs(path), lambda d: excluded(F.concat(d, F.lit("/x")))), F.lit(0))
 
 
-def with_ignore_regex(files: DataFrame, ignore_regexes: DataFrame | None) -> DataFrame:
-    """Attach each repository's own exclude expression (null where it has none).
+class _Excludes:
+    """Exclude rules of a run as predicates: those of the configuration, and the row's own."""
+
+    def __init__(self, config: PackConfig, per_row: bool) -> None:
+        globs = exclude_globs(config)
+        walking = walk_globs(globs)
+        self.per_row = per_row
+        self.fixed = glob_regex(globs)
+        self.fixed_walk = glob_regex(walking) if walking else None
+
+    def matches(self, path: Column) -> Column:
+        hit = path.rlike(self.fixed)
+        return hit | matches_regex_column(path, F.col("ignore_regex")) if self.per_row else hit
+
+    def walk_matches(self, path: Column) -> Column:
+        hit = F.lit(False) if self.fixed_walk is None else path.rlike(self.fixed_walk)
+        return hit | matches_regex_column(path, F.col("walk_regex")) if self.per_row else hit
+
+    def has_walk_rule(self) -> Column:
+        fixed = F.lit(self.fixed_walk is not None)
+        return fixed | F.col("walk_regex").isNotNull() if self.per_row else fixed
+
+    def pruned_dir(self, path: Column) -> Column:
+        """Looked for only where it can exist: below a hidden directory a path is either
+        excluded itself, or hidden by one of the rules that need a walk."""
+        return F.when(self.has_walk_rule() | self.matches(path), topmost_pruned_dir(path, self.matches))
+
+    def hidden_by_walk(self, path: Column) -> Column:
+        if self.fixed_walk is None and not self.per_row:
+            return F.lit(False)
+        return F.coalesce(
+            F.when(self.has_walk_rule(), topmost_pruned_dir(path, self.walk_matches).isNotNull()), F.lit(False)
+        )
+
+
+def _with_rules(files: DataFrame, ignore_regexes: DataFrame | None) -> DataFrame:
+    """Attach each repository's own exclude expressions (null where it has none).
 
     One row per ignore file. No broadcast hint: the optimizer broadcasts the side if it
     is small and splits a skewed repository otherwise.
     """
-    if ignore_regexes is None:
-        return files.withColumn("ignore_regex", F.lit(None).cast("string"))
-    return files.join(ignore_regexes.select("repo", "ignore_regex"), "repo", "left")
+    return files if ignore_regexes is None else files.join(ignore_regexes, "repo", "left")
+
+
+def _readable(files: DataFrame) -> Column:
+    return F.col("readable") if "readable" in files.columns else F.lit(True)
 
 
 def with_decisions(
@@ -81,35 +129,39 @@ def with_decisions(
 
     The first reason that applies wins: pruned directory, pattern, size, readability.
     """
-    has_ignore = ignore_regexes is not None
-    rows = with_ignore_regex(files, ignore_regexes) if has_ignore else files
-    fixed = glob_regex(exclude_globs(config))
-
-    def excluded(path: Column) -> Column:
-        hit = path.rlike(fixed)
-        return hit | matches_regex_column(path, F.col("ignore_regex")) if has_ignore else hit
-
+    excludes = _Excludes(config, ignore_regexes is not None)
     path = F.col("path")
-    pruned = topmost_pruned_dir(path, excluded) if config.prune_dirs else F.lit(None).cast("string")
-    readable = F.col("readable") if "readable" in files.columns else F.lit(True)
+    pruned = excludes.pruned_dir(path) if config.prune_dirs else F.lit(None).cast("string")
     decision = (
         F.when(F.col("pruned_dir").isNotNull(), SKIP_DIR)
-        .when(~matches_globs(path, config.include) | excluded(path), EXCLUDE)
+        .when(~matches_globs(path, config.include) | excludes.matches(path), EXCLUDE)
         .when(F.col("size_bytes") > config.max_file_bytes, SKIP_SIZE)
-        .when(~readable, SKIP_UNREADABLE)
+        .when(~_readable(files), SKIP_UNREADABLE)
         .otherwise(INCLUDE)
     )
+    rows = _with_rules(files, ignore_regexes)
     decided = rows.withColumn("pruned_dir", pruned).withColumn("decision", decision)
-    return decided.drop("ignore_regex", "readable")
+    return decided.drop("ignore_regex", "walk_regex", "readable")
 
 
 def selected_files(
     files: DataFrame, config: PackConfig, ignore_regexes: DataFrame | None = None
 ) -> DataFrame:
-    """The files to pack. The size limit is a plain comparison, so it reaches the scan."""
-    small = files.where(F.col("size_bytes") <= config.max_file_bytes)
-    decided = with_decisions(small, config, ignore_regexes)
-    return decided.where(F.col("decision") == INCLUDE).drop("pruned_dir", "decision")
+    """The files whose decision would be to include them.
+
+    The tests run from cheap to dear. The size limit is a plain comparison, so it reaches
+    the scan; directories above a file are only looked at where a rule asks for it.
+    """
+    excludes = _Excludes(config, ignore_regexes is not None)
+    path = F.col("path")
+    kept = (
+        _with_rules(files, ignore_regexes)
+        .where(F.col("size_bytes") <= config.max_file_bytes)
+        .where(matches_globs(path, config.include) & ~excludes.matches(path))
+    )
+    if config.prune_dirs:
+        kept = kept.where(~excludes.hidden_by_walk(path))
+    return kept.where(_readable(files)).drop("ignore_regex", "walk_regex", "readable")
 
 
 def decision_counts(decisions: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuspack.functions.globs import glob_regex
+from corpuspack.functions.globs import glob_regex, walk_globs
 
 _LINE_BREAK = r"\r\n|\r|\n"
 _EDGE_SPACE = r"\A\p{javaWhitespace}+|\p{javaWhitespace}+\z"
@@ -25,20 +25,28 @@ def ignore_patterns(files: DataFrame, ignore_name: str) -> DataFrame:
     return stripped.where((F.col("pattern") != "") & ~F.startswith("pattern", F.lit("#")))
 
 
-@F.pandas_udf(T.StringType())
-def _globs_as_regex(globs: pd.Series) -> pd.Series:
-    return globs.map(glob_regex)
+@F.pandas_udf(
+    T.StructType([T.StructField("ignore_regex", T.StringType()), T.StructField("walk_regex", T.StringType())])
+)
+def _globs_as_regexes(globs: pd.Series) -> pd.DataFrame:
+    walking = globs.map(walk_globs)
+    return pd.DataFrame(
+        {"ignore_regex": globs.map(glob_regex), "walk_regex": [glob_regex(g) if g else None for g in walking]}
+    )
 
 
 def ignore_regexes(files: DataFrame, ignore_name: str) -> DataFrame:
-    """One row per ignore file: ``repo`` and a single expression for all its patterns.
+    """One row per ignore file: ``repo`` and single expressions for its patterns.
 
-    Only ignore files pass through Python. A group holds the lines of one file.
+    ``walk_regex`` covers the patterns that can hide whole directories (see
+    ``walk_globs``), null if there is none. Only ignore files pass through Python. A group
+    holds the lines of one file.
     """
     grouped = ignore_patterns(files, ignore_name).groupBy("repo")
-    return grouped.agg(F.collect_list("pattern").alias("globs")).select(
-        "repo", _globs_as_regex("globs").alias("ignore_regex")
+    regexes = grouped.agg(F.collect_list("pattern").alias("globs")).select(
+        "repo", _globs_as_regexes("globs").alias("regexes")
     )
+    return regexes.select("repo", "regexes.*")
 
 
 def without_ignored(files: DataFrame, regexes: DataFrame) -> DataFrame:
