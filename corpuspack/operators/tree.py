@@ -33,7 +33,6 @@ def _directories(leaves: DataFrame) -> DataFrame:
         *_DOCUMENT,
         "node_path",
         parent_dir(F.col("node_path")).alias("dir"),
-        F.size(F.split("node_path", "/")).alias("depth"),
         base_name(F.col("node_path")).alias("name"),
     )
 
@@ -57,38 +56,46 @@ def tree_nodes(files: DataFrame) -> DataFrame:
         *_DOCUMENT,
         F.col("path").alias("node_path"),
         parent_dir(F.col("path")).alias("dir"),
-        F.size(F.split("path", "/")).alias("depth"),
         base_name(F.col("path")).alias("name"),
     )
-    return dirs.withColumn("is_dir", F.lit(True)).unionByName(own.withColumn("is_dir", F.lit(False)))
+    nodes = dirs.withColumn("is_dir", F.lit(True)).unionByName(own.withColumn("is_dir", F.lit(False)))
+    return nodes.withColumn("depth", F.size(F.split("node_path", "/")))
 
 
-def _prefixes(dirs: DataFrame) -> DataFrame:
-    """What precedes the connector on the lines inside each directory.
+def _last_levels(families: DataFrame) -> DataFrame:
+    """For each directory, the levels at which it or a directory above it is a last child.
 
-    Each level contributes a bar, or a gap below a last child. Grouping is per
-    directory, so a group holds as many rows as the directory has levels.
+    Directories come before files, so a directory is last only where its parent holds no
+    files. Grouping is per directory and yields at most as many numbers as it has levels.
     """
-    levels = dirs.select(
-        *_DOCUMENT, F.col("node_path").alias("dir"), F.explode(_self_and_above(F.col("node_path"))).alias("above")
-    )
-    marks = dirs.select(
+    top = F.col("dir") == ""
+    last = families.where(F.col("last_file").isNull()).select(
         *_DOCUMENT,
-        F.col("node_path").alias("above"),
-        "depth",
-        F.when(F.col("is_last"), _GAP).otherwise(_BAR).alias("mark"),
+        F.when(top, F.col("last_dir")).otherwise(F.concat_ws("/", "dir", "last_dir")).alias("above"),
+        F.when(top, 1).otherwise(F.size(F.split("dir", "/")) + 1).alias("level"),
+    )
+    chains = families.where(~top).select(
+        *_FAMILY, F.explode(_self_and_above(F.col("dir"))).alias("above")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("depth", "mark")))
-    prefix = F.array_join(F.transform(ordered, lambda level: level["mark"]), "")
-    return levels.join(marks, [*_DOCUMENT, "above"]).groupBy(*_FAMILY).agg(prefix.alias("prefix"))
+    found = chains.join(last, [*_DOCUMENT, "above"])
+    return found.groupBy(*_FAMILY).agg(F.collect_list("level").alias("last_levels"))
+
+
+def _prefix() -> Column:
+    """What precedes the connector inside a directory: a gap below last children, else a bar."""
+    levels = F.sequence(F.lit(1), F.size(F.split("dir", "/")))
+    # A missing list makes the condition null, which counts as false.
+    marks = F.transform(
+        levels, lambda level: F.when(F.array_contains("last_levels", level), _GAP).otherwise(_BAR)
+    )
+    return F.when(F.col("dir") == "", "").otherwise(F.array_join(marks, ""))
 
 
 def tree_families(files: DataFrame) -> DataFrame:
     """One row per directory of each document, the top (an empty ``dir``) included.
 
-    Directories come before files, so a directory is a last child only where its parent
-    holds no files. The last child comes from an aggregate, which combines map-side, and
-    not from a window that would gather all siblings in one task.
+    The last child comes from an aggregate, which combines map-side, and not from a window
+    that would gather all siblings in one task.
     """
     leaves = materialised(_leaves(files), "leaves")
     dirs = _directories(leaves)
@@ -113,10 +120,12 @@ def tree_families(files: DataFrame) -> DataFrame:
             (F.sum("file_name_bytes") + F.sum("dir_name_bytes")).alias("name_bytes"),
         )
     )
-    last = F.col("last_file").isNull() & (F.col("name") == F.col("last_dir"))
-    placed = dirs.join(families.select(*_FAMILY, "last_file", "last_dir"), _FAMILY)
-    prefixes = _prefixes(placed.select(*_DOCUMENT, "node_path", "depth", last.alias("is_last")))
-    return families.join(prefixes, _FAMILY, "left").withColumn("prefix", F.coalesce("prefix", F.lit("")))
+    families = materialised(families, "families")
+    return (
+        families.join(_last_levels(families), _FAMILY, "left")
+        .withColumn("prefix", _prefix())
+        .drop("last_levels")
+    )
 
 
 def _line(name: Column, is_last: Column, tail: str) -> Column:

@@ -112,10 +112,13 @@ class Pack:
         """``(repo, path, size_bytes)`` of the files a run would include."""
         return self.decisions.where(F.col("decision") == INCLUDE).drop("pruned_dir", "decision")
 
+    def _fragment_rows(self) -> DataFrame:
+        contents = self.candidates.select("repo", "path", "content")
+        return render.fragment_rows(self.layout, self.anchored, self.families, contents, self.config)
+
     def fragments(self) -> DataFrame:
         """The documents, as ordered rows; see ``corpuspack.schema.FRAGMENTS``."""
-        contents = prepared(self.candidates, self.config).select("repo", "path", "content")
-        return render.fragments(self.layout, self.anchored, self.families, contents, self.config)
+        return render.rendered(self._fragment_rows(), self.config)
 
     def documents(self) -> DataFrame:
         """Whole documents as single strings: chunk mode only, whose documents are bounded."""
@@ -125,7 +128,7 @@ class Pack:
 
     def write(self, folder: str) -> None:
         """Write the documents as text below ``folder``."""
-        write_documents(self.fragments(), folder)
+        write_documents(self._fragment_rows(), folder, self.config)
 
     @cached_property
     def _outputs(self) -> DataFrame:

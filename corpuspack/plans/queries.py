@@ -19,7 +19,7 @@ from corpuspack.operators.tree import tree_nodes as nodes_of
 from corpuspack.plans import render, report
 from corpuspack.plans.fixtures import CONFIG, view
 from corpuspack.plans.layout import split_groups as groups_of
-from corpuspack.plans.pack import Pack, as_text_files, file_meta, pack_files, pack_listing, prepared, with_language
+from corpuspack.plans.pack import Pack, as_text_files, file_meta, pack_files, pack_listing, with_language
 from corpuspack.schema import FRAGMENT_ORDER
 from corpuspack.session import materialised
 from corpuspack.sources import ignore, references, remote
@@ -369,9 +369,8 @@ def footer_render(spark, sf_dir):
 @query
 def file_section_render(spark, sf_dir):
     run = _run(spark, sf_dir)
-    contents = prepared(run.candidates, CONFIG).select("repo", "path", "content")
-    sections = render.file_fragments(run.anchored, contents)
-    return sections.select("repo", F.col("sort_key").alias("path"), "fragment")
+    rows = render.file_rows(run.anchored, run.candidates.select("repo", "path", "content"))
+    return render.rendered(rows, CONFIG).select("repo", F.col("sort_key").alias("path"), "fragment")
 
 
 @query

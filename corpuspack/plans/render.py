@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuspack.config import PackConfig
+from corpuspack.functions.comments import strip_comments
 from corpuspack.functions.text import kilobytes, repo_name
 from corpuspack.operators.tree import tree_bytes, tree_lines
 from corpuspack.plans.layout import Layout
@@ -69,14 +70,15 @@ def toc_line() -> Column:
     return F.concat(F.lit("- [`"), F.col("path"), F.lit("`](#"), F.col("anchor"), F.lit(")\n"))
 
 
-def section_opening() -> Column:
+def section_opening(path: Column | None = None) -> Column:
     """A file section up to its text: heading, language and size, opening fence."""
+    path = F.col("path") if path is None else path
     language = F.col("language")
     return F.concat(
         F.lit('### <a id="'),
         F.col("anchor"),
         F.lit('"></a>`'),
-        F.col("path"),
+        path,
         F.lit("`\n\n> **Language:** "),
         F.when(language == "", "text").otherwise(language),
         F.lit(" · **Size:** "),
@@ -148,27 +150,59 @@ def tree_fragments(files: DataFrame, families: DataFrame) -> DataFrame:
     return _body_rows(tree_lines(files, families), TREE, F.col("sort_key"), F.col("line"))
 
 
-def file_fragments(anchored: DataFrame, contents: DataFrame) -> DataFrame:
-    """File sections. ``contents`` is ``(repo, path, content)``, joined on its unique key."""
-    joined = anchored.join(contents, ["repo", "path"])
-    text = F.concat(section_opening(), body_text(F.col("content")), F.lit(SECTION_CLOSING))
-    return _body_rows(joined, FILES, F.col("path"), text)
+def file_rows(anchored: DataFrame, contents: DataFrame) -> DataFrame:
+    """File sections still to be rendered: their ingredients, and no fragment yet.
 
+    ``contents`` is ``(repo, path, content)``, joined on its unique key.
+    """
+    return anchored.join(contents, ["repo", "path"]).select(
+        "repo",
+        "output",
+        F.lit(FILES).alias("section"),
+        F.lit(BODY).alias("part"),
+        F.col("path").alias("sort_key"),
+        F.lit(None).cast("string").alias("fragment"),
+        "anchor",
+        "language",
+        "size_bytes",
+        "content",
+    )
 
-def fragments(
+
+def fragment_rows(
     layout: Layout,
     anchored: DataFrame,
     families: DataFrame | None,
     contents: DataFrame,
     config: PackConfig,
 ) -> DataFrame:
-    """All fragments of all documents; switched-off sections are left out of the union."""
+    """All fragments of all documents, file sections unrendered.
+
+    Switched-off sections are left out of the union.
+    """
     parts = fixed_fragments(layout.documents, config)
     if config.toc:
         parts = parts.unionByName(toc_fragments(anchored))
     if config.tree:
         parts = parts.unionByName(tree_fragments(layout.files, families))
-    return parts.unionByName(file_fragments(anchored, contents)).select(_COLUMNS)
+    return parts.unionByName(file_rows(anchored, contents), allowMissingColumns=True)
+
+
+def rendered(rows: DataFrame, config: PackConfig) -> DataFrame:
+    """Fragment rows with every file section rendered.
+
+    A projection, so it can run wherever it is cheapest: a sink orders the rows first
+    and renders them after the shuffle.
+    """
+    content = F.col("content")
+    if config.strip_comments:
+        content = strip_comments(content, F.col("language"))
+    text = F.concat(section_opening(F.col("sort_key")), body_text(F.col("stripped")), F.lit(SECTION_CLOSING))
+    return (
+        rows.withColumn("stripped", content)
+        .withColumn("fragment", F.coalesce("fragment", text))
+        .select(_COLUMNS)
+    )
 
 
 def document_sizes(

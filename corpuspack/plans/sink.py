@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuspack.config import PackConfig
+from corpuspack.plans.render import rendered
 from corpuspack.schema import FRAGMENT_ORDER
 
 
-def write_documents(fragments: DataFrame, folder: str) -> None:
-    """Write fragments to ``folder/repo=…/output=…/part-*.txt``.
+def write_documents(rows: DataFrame, folder: str, config: PackConfig) -> None:
+    """Write fragment rows to ``folder/repo=…/output=…/part-*.txt``.
 
     Rows are range-partitioned on the full document order: small documents share tasks,
     and a document too large for one task continues in the next part file. A document is
-    its part files, concatenated by name.
+    its part files, concatenated by name. Rendering comes after the shuffle, so the
+    sampling that finds the range boundaries does not pay for it.
 
     The writer ends every row with a newline, so one is taken off each fragment. The key
     columns are made non-nullable: the writer then keeps this sort instead of adding its
     own on the keys alone, which would not preserve the order within a document.
     """
     keys = {c: F.coalesce(c, F.lit("")) for c in ("repo", "output")}
-    text = F.regexp_replace("fragment", r"\n\z", "")
     ordered = (
-        fragments.withColumns(keys)
-        .withColumn("fragment", text)
-        .repartitionByRange(*FRAGMENT_ORDER)
-        .sortWithinPartitions(*FRAGMENT_ORDER)
+        rows.withColumns(keys).repartitionByRange(*FRAGMENT_ORDER).sortWithinPartitions(*FRAGMENT_ORDER)
     )
-    ordered.select("repo", "output", "fragment").write.partitionBy("repo", "output").text(folder)
+    lines = rendered(ordered, config).select(
+        "repo", "output", F.regexp_replace("fragment", r"\n\z", "").alias("fragment")
+    )
+    lines.write.partitionBy("repo", "output").text(folder)

@@ -217,8 +217,8 @@ def test_a_huge_document_is_written_in_several_parts(spark, tmp_path):
     assert "".join(p.read_bytes().decode() for p in parts) == expected
 
 
-def test_writing_sorts_once(spark, files, tmp_path):
-    """The writer must not re-sort on the folder keys: that would lose the order within a document."""
+def test_writing_needs_no_second_sort(files):
+    """The writer re-sorts on nullable folder keys, which would lose the order within a document."""
     run = pack_files(files({"a.md": "x"}), PackConfig(include=["*"]))
     keys = {c: F.coalesce(c, F.lit("")) for c in ("repo", "output")}
     ordered = run.fragments().withColumns(keys)
