@@ -37,11 +37,12 @@ def _numbered(stem: Column, number: Column) -> Column:
     return F.concat(stem, F.lit("-"), number.cast("string"), F.lit(".md"))
 
 
-def _resolve_clashes(dirs: pd.DataFrame) -> pd.DataFrame:
+def _resolve_family(dirs: pd.DataFrame) -> pd.DataFrame:
     """Names of one family of directories, taken in directory order."""
+    dirs = dirs.sort_values("sort_key")
     used: set[str] = set()
     names = []
-    for base in (dirs := dirs.sort_values("sort_key")).base:
+    for base in dirs.base:
         name, number = base, 2
         while name in used:
             name, number = f"{base.removesuffix('.md')}-{number}.md", number + 1
@@ -50,17 +51,38 @@ def _resolve_clashes(dirs: pd.DataFrame) -> pd.DataFrame:
     return dirs.assign(output=names)[["repo", "dir_key", "output"]]
 
 
+def _resolve_in_rounds(rows: DataFrame) -> DataFrame:
+    """The same names without gathering a family: every round is one aggregate and one join.
+
+    Of the directories that want a name, the first in order keeps it; the others try their
+    next number. A name only ever passes to an earlier directory, so once nobody has to
+    move, each directory has the first name that no earlier one took.
+    """
+    wanted = F.when(F.col("nth") == 1, F.col("base")).otherwise(_numbered(_stem(F.col("base")), F.col("nth")))
+    while True:
+        rows = materialised(rows.select("repo", "dir_key", "base", "nth", wanted.alias("output")), "rounds")
+        keepers = rows.groupBy("repo", "output").agg(F.min("dir_key").alias("keeper"))
+        moved = rows.join(keepers, ["repo", "output"]).withColumn("moves", F.col("dir_key") != F.col("keeper"))
+        if moved.where("moves").isEmpty():
+            return rows.select("repo", "dir_key", "output")
+        rows = moved.withColumn("nth", F.col("nth") + F.col("moves").cast("int"))
+
+
+def _stem(base: Column) -> Column:
+    return F.regexp_replace(base, r"\.md\z", "")
+
+
 def split_names(dirs: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Document name of each ``(repo, dir_key)``, unique within the repository.
 
     A repeated base name is numbered by its rank in directory order. That is exact
     unless a numbered name is itself the base name of a directory. Base names which differ
-    only in trailing numbers form a family; families where that happens, and only
-    those, are resolved one directory after the other.
+    only in trailing numbers form a family, and only families where that happens are
+    resolved name by name: in one task each if the largest fits, in rounds otherwise.
     """
     based = dirs.select("repo", "dir_key", split_name(F.col("dir_key")).alias("base"))
     ranked = rank_within(based, ["repo", "base"], ["dir_key"], "nth", window_rows)
-    stem = F.regexp_replace("base", r"\.md\z", "")
+    stem = _stem(F.col("base"))
     named = ranked.select(
         "repo",
         "dir_key",
@@ -74,11 +96,16 @@ def split_names(dirs: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
     clashing = (
         named.where("nth > 1").join(bases, ["repo", "output"], "left_semi").select("repo", "family").distinct()
     )
+    clashes = named.join(clashing, ["repo", "family"], "left_semi")
+    largest = clashes.groupBy("repo", "family").count().agg(F.max("count")).first()[0]
+    if largest is None:
+        return named.select("repo", "dir_key", "output")
     plain = named.join(clashing, ["repo", "family"], "left_anti").select("repo", "dir_key", "output")
+    if largest > window_rows:
+        return plain.unionByName(_resolve_in_rounds(clashes))
     resolved = (
-        named.join(clashing, ["repo", "family"], "left_semi")
-        .select("repo", "family", "dir_key", "base", F.encode("dir_key", "UTF-8").alias("sort_key"))
+        clashes.select("repo", "family", "dir_key", "base", F.encode("dir_key", "UTF-8").alias("sort_key"))
         .groupBy("repo", "family")
-        .applyInPandas(_resolve_clashes, "repo string, dir_key string, output string")
+        .applyInPandas(_resolve_family, "repo string, dir_key string, output string")
     )
     return plain.unionByName(resolved)

@@ -18,7 +18,8 @@ def write_documents(rows: DataFrame, folder: str, config: PackConfig) -> None:
     its part files, concatenated by name. Rendering comes after the shuffle, so the
     sampling that finds the range boundaries does not pay for it.
 
-    The writer ends every row with a newline, so one is taken off each fragment. The key
+    Every fragment ends with a newline, and so does every row the writer writes: one is taken
+    off. The key
     columns are made non-nullable: the writer then keeps this sort instead of adding its
     own on the keys alone, which would not preserve the order within a document.
     """
@@ -26,7 +27,6 @@ def write_documents(rows: DataFrame, folder: str, config: PackConfig) -> None:
     ordered = (
         rows.withColumns(keys).repartitionByRange(*FRAGMENT_ORDER).sortWithinPartitions(*FRAGMENT_ORDER)
     )
-    lines = rendered(ordered, config).select(
-        "repo", "output", F.regexp_replace("fragment", r"\n\z", "").alias("fragment")
-    )
+    without_newline = F.left("fragment", F.length("fragment") - 1)
+    lines = rendered(ordered, config).select("repo", "output", without_newline.alias("fragment"))
     lines.write.partitionBy("repo", "output").text(folder)

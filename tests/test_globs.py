@@ -1,7 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpuspack.functions.globs import DEFAULT_EXCLUDES, glob_regex, matches_globs, matches_regex_column
+from corpuspack.functions.globs import (
+    DEFAULT_EXCLUDES,
+    glob_regex,
+    matches_globs,
+    matches_regex_column,
+    walk_globs,
+)
 
 CASES = [
     # globs, path, matches
@@ -91,3 +97,9 @@ def test_default_excludes(spark, path):
 def test_default_excludes_leave_lookalikes(spark):
     df = spark.createDataFrame([("builds/A",), ("src/outer/B",), ("gitlike/C",)], "path string")
     assert df.where(matches_globs(F.col("path"), DEFAULT_EXCLUDES)).count() == 0
+
+
+def test_globs_that_need_the_directories_above_a_file():
+    assert walk_globs(["foo/**", "**", "*.log", "a/b.md", ""]) == []
+    hiding = ["foo/*", "x", "?", "a/[x]", "{x,y}", "x**", "dir/X"]
+    assert walk_globs([*DEFAULT_EXCLUDES, *hiding]) == hiding

@@ -62,10 +62,10 @@ def serial_names(dirs):
     return names
 
 
-def named(spark, repos):
+def named(spark, repos, **options):
     df = spark.createDataFrame([(r, d) for r, ds in repos.items() for d in ds], "repo string, dir_key string")
     got = {}
-    for row in split_names(df).collect():
+    for row in split_names(df, **options).collect():
         got.setdefault(row.repo, {})[row.dir_key] = row.output
     return got
 
@@ -77,7 +77,9 @@ def test_split_names(spark):
         "taken": ["a.b", "a.b-2", "a/b", "a/b-2", "a.b-3"],
         "root": ["", "_root"],
     }
-    assert named(spark, repos) == {r: serial_names(ds) for r, ds in repos.items()}
+    expected = {r: serial_names(ds) for r, ds in repos.items()}
+    assert named(spark, repos) == expected
+    assert named(spark, repos, window_rows=0) == expected
 
 
 def test_split_names_on_random_directories(spark):
@@ -86,4 +88,6 @@ def test_split_names_on_random_directories(spark):
     for i in range(40):
         pool = ["".join(rng.choice(["a", "b", "-2", "-3", ".", "/"]) for _ in range(rng.randint(1, 6))) for _ in range(30)]
         repos[f"r{i}"] = sorted({p.strip("/") for p in pool if "//" not in p and p.strip("/")})
-    assert named(spark, repos) == {r: serial_names(ds) for r, ds in repos.items()}
+    expected = {r: serial_names(ds) for r, ds in repos.items()}
+    assert named(spark, repos) == expected
+    assert named(spark, repos, window_rows=0) == expected

@@ -2,7 +2,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuspack import PackConfig, pack_files
-from corpuspack.operators.select import decision_counts, exclude_globs, exclude_sources, with_decisions
+from corpuspack.functions.globs import glob_regex
+from corpuspack.operators.select import (
+    decision_counts,
+    exclude_globs,
+    exclude_sources,
+    selected_files,
+    with_decisions,
+)
 from corpuspack.sources.ignore import ignore_patterns, ignore_regexes, without_ignored
 
 
@@ -55,6 +62,39 @@ def test_a_bare_x_prunes_every_directory(spark):
     assert decided(df, exclude=["x"]) == {"d/A.java": ("skip_dir", "d"), "A.java": ("include", None)}
 
 
+WALK_CASES = [
+    ["foo/*"], ["x"], ["x**"], ["*x"], ["d?r/**", "q"], ["{foo,dir}/*"], ["foo/[x]"], ["**/foo/**"], ["a/**"],
+    ["**"], ["*"], ["foo/x"], ["src/*", "*.md"], ["[!x]*"], ["FOO/?"],
+]
+
+
+def test_selection_equals_the_walk(spark):
+    """Looking at every directory above every file gives the same answer as the shortcuts."""
+    dirs = ["", "foo/", "a/foo/", "foo/bar/", "dir/", "src/x/", "xy/", "a/b/c/", "build/q/"]
+    paths = [d + n for d in dirs for n in ("x", "B.java", "r.md")]
+    df = sized(spark, *paths)
+    for globs in WALK_CASES:
+        config = PackConfig(include=["**/*"], exclude=globs)
+        regex = glob_regex(exclude_globs(config))
+        rows = spark.createDataFrame(
+            [(p, t, d) for p in paths for d, t in [(None, p), *((p[:i], p[:i] + "/x") for i, c in enumerate(p) if c == "/")]],
+            "path string, tested string, dir string",
+        )
+        hits = rows.where(F.col("tested").rlike(regex)).collect()
+        pruned = {}
+        for r in hits:
+            if r.dir is not None:
+                pruned[r.path] = min(pruned.get(r.path, r.dir), r.dir, key=len)
+        excluded = {r.path for r in hits if r.dir is None}
+        got = {r.path: (r.decision, r.pruned_dir) for r in with_decisions(df, config).collect()}
+        assert got == {
+            p: ("skip_dir", pruned[p]) if p in pruned else ("exclude" if p in excluded else "include", None)
+            for p in paths
+        }, globs
+        kept = {r.path for r in selected_files(df, config).collect()}
+        assert kept == {p for p, (decision, _) in got.items() if decision == "include"}, globs
+
+
 def test_counts(spark):
     df = sized(spark, "A.java", "A.md", "build/A.java", "build/x/B.java", "out/C.java")
     row = decision_counts(with_decisions(df, PackConfig(include=["*.java"]))).first()
