@@ -20,7 +20,7 @@ _BATCH_BYTES = 32 << 20
 
 
 @dataclass
-class _Subtree(InputPartition):
+class _Subtree:
     """Files below a directory, or one slice of the files directly in it."""
 
     repo: str
@@ -30,6 +30,13 @@ class _Subtree(InputPartition):
     slices: int = 1
 
 
+@dataclass
+class _Share(InputPartition):
+    """What one task scans."""
+
+    trees: list[_Subtree]
+
+
 def _below(folder: str) -> tuple[list[os.DirEntry], list[os.DirEntry]]:
     """Sub-directories and files; linked directories count as files and are not entered."""
     try:
@@ -56,11 +63,12 @@ class _Reader(DataSourceReader):
         """Open directories breadth-first until there are enough sub-trees to share out.
 
         At most ``tasks`` directories are listed here; all other listing, and all
-        reading, is done by the tasks.
+        reading, is done by the tasks. Where there are more sub-trees than tasks, they
+        are dealt out in turn.
         """
         repos, _ = _below(self.root)
         waiting = [_Subtree(e.name, "") for e in repos]
-        done: list[InputPartition] = []
+        done: list[_Subtree] = []
         opened = 0
         while waiting and opened < self.tasks and len(waiting) + len(done) < self.tasks:
             tree = waiting.pop(0)
@@ -69,7 +77,8 @@ class _Reader(DataSourceReader):
             slices = 1 + len(files) // 10_000
             done += [_Subtree(tree.repo, tree.folder, False, i, slices) for i in range(slices) if files]
             waiting += [_Subtree(tree.repo, os.path.join(tree.folder, d.name)) for d in dirs]
-        return done + waiting
+        trees = done + waiting
+        return [_Share(trees[i :: self.tasks]) for i in range(min(self.tasks, len(trees)))]
 
     def _entries(self, part: _Subtree) -> Iterator[tuple[str, os.DirEntry]]:
         pending = [part.folder]
@@ -82,26 +91,33 @@ class _Reader(DataSourceReader):
             if part.recursive:
                 pending += [os.path.join(folder, d.name) for d in dirs]
 
-    def read(self, partition: _Subtree) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        held = 0
-        for path, entry in self._entries(partition):
+    def _row(self, repo: str, path: str, entry: os.DirEntry) -> dict | None:
+        try:
+            size = entry.stat(follow_symlinks=False).st_size
+        except OSError:
+            return None
+        raw = None
+        if size <= self.max_file_bytes:
             try:
-                size = entry.stat(follow_symlinks=False).st_size
+                with open(entry.path, "rb") as handle:
+                    raw = handle.read()
             except OSError:
-                continue
-            raw = None
-            if size <= self.max_file_bytes:
-                try:
-                    with open(entry.path, "rb") as handle:
-                        raw = handle.read()
-                except OSError:
-                    raw = None
-            rows.append({"repo": _text(partition.repo), "path": _text(path), "raw": raw, "size_bytes": size})
-            held += len(raw or b"") + len(path)
-            if held >= _BATCH_BYTES:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                rows, held = [], 0
+                pass
+        return {"repo": _text(repo), "path": _text(path), "raw": raw, "size_bytes": size}
+
+    def read(self, partition: _Share) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        held = 0
+        for tree in partition.trees:
+            for path, entry in self._entries(tree):
+                row = self._row(tree.repo, path, entry)
+                if row is None:
+                    continue
+                rows.append(row)
+                held += len(row["raw"] or b"") + len(path)
+                if held >= _BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 

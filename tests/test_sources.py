@@ -89,7 +89,7 @@ def test_scan_covers_every_file_once(spark, repos, tasks):
     paths = [(r.repo, r.path) for r in scan_trees(spark, str(repos), tasks=tasks).select("repo", "path").collect()]
     assert len(paths) == len(set(paths)) == 9
     reader = _Reader(str(repos), 1 << 20, tasks)
-    assert len(reader.partitions()) >= 1
+    assert 1 <= len(reader.partitions()) <= tasks
 
 
 def test_scanned_trees_pack(spark, repos):
