@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from corpuspack.plans.oracle import ORACLE
+from corpuspack.plans.queries import QUERIES
 
 FOLDER = os.environ.get("CORPUSPACK_TEST_DATA", "/root/testdata/sf0.001")
-QUERIES, ORACLE = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
@@ -38,5 +39,10 @@ def test_query(spark, duck, name):
     assert expected
 
 
+def test_entry_offers_the_catalogue():
+    assert QUERIES.keys() <= __spark_entry__.queries().keys()
+    assert ORACLE.keys() <= __spark_entry__.oracle_sql().keys()
+
+
 def test_entry_has_a_stable_schema(spark):
     assert __spark_entry__.entry(spark).columns == ["repo", "output", "label", "n_files", "size_bytes", "tokens"]
