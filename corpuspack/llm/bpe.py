@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ from corpuspack.llm.common import FLUSH_BYTES, rows_of
 #: Characters of a text, and bytes of a match, that are encoded without halving.
 TEXT_LEAF = 1 << 16
 MATCH_LEAF = 64
-#: Matches remembered by a worker. More than that and the memory starts afresh.
-REMEMBERED = 200_000
+#: Bytes up to which merges are found by scanning all neighbours.
+SCANNED = 24
+#: Matches remembered by a worker, in two halves: when the newer half is full, it becomes the older one.
+REMEMBERED = 400_000
 
 _CUT = regex.compile(r"(?<=\S)(?=\s)")
 
@@ -63,7 +66,8 @@ class Bpe:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.text_leaf, self.match_leaf = text_leaf, match_leaf
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     # Tokens of one match
@@ -73,6 +77,8 @@ class Bpe:
         ranks, n = self.ranks, len(data)
         if n < 2:
             return [ranks[data]] if n else []
+        if n <= SCANNED:
+            return self.scanned(data)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         end = list(range(1, n + 1))
         alive = bytearray(b"\1") * n
@@ -98,6 +104,20 @@ class Bpe:
                 offer(left[i])
         return [ranks[data[i : end[i]]] for i in range(n) if alive[i]]
 
+    def scanned(self, data: bytes) -> list[int]:
+        """The same for few bytes: look for the least rank of all neighbours again and again."""
+        get, never = self.ranks.get, len(self.ranks) << 8
+        cuts = list(range(len(data) + 1))
+        offers = [get(data[i : i + 2], never) for i in range(len(data) - 1)]
+        while offers and (least := min(offers)) != never:
+            i = offers.index(least)
+            del cuts[i + 1], offers[i]
+            if i < len(offers):
+                offers[i] = get(data[cuts[i] : cuts[i + 2]], never)
+            if i:
+                offers[i - 1] = get(data[cuts[i - 1] : cuts[i + 1]], never)
+        return [self.ranks[data[a:b]] for a, b in zip(cuts, cuts[1:])]
+
     def fits(self, a: int, b: int) -> bool:
         """Whether the two tokens stay apart when their bytes are encoded."""
         if (a, b) not in self.pairs:
@@ -123,22 +143,22 @@ class Bpe:
         half = len(data) // 2
         return self.joined(self.tree(data[:half]), self.tree(data[half:]))
 
-    def match(self, piece: str) -> list[int]:
+    def match(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else self.tree(data)
+        return (whole,) if whole is not None else tuple(self.tree(data))
 
     # Matches of a text
 
     def leaf(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known, extend = self.known, ids.extend
-        if len(known) >= REMEMBERED:
-            known.clear()
+        if len(self.known) >= REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, ids = self.known, []
+        extend = ids.extend
         for piece in self.find(text):
             tokens = known.get(piece)
             if tokens is None:
-                tokens = self.match(piece)
+                tokens = self.older.get(piece) or self.match(piece)
                 if len(piece) <= self.match_leaf:
                     known[piece] = tokens
             extend(tokens)
@@ -195,7 +215,7 @@ def _last_cut(text: str):
 def _ids_batch(keys: list, ids: list[list[int]], key_type: pa.DataType) -> pa.RecordBatch:
     offsets = np.zeros(len(ids) + 1, np.int32)
     np.cumsum([len(x) for x in ids], out=offsets[1:])
-    values = np.fromiter((x for part in ids for x in part), np.int32, offsets[-1])
+    values = np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1])
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
     return pa.RecordBatch.from_arrays([pa.array(keys, key_type), lists], names=["doc_id", "ids"])
 
