@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import bpe, exact, jaccard, mixing, neighbours, quality, repeats, sharding, warc
+from corpuspack.llm import bpe, chains, exact, jaccard, mixing, neighbours, quality, repeats, sharding, warc
 from corpuspack.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_collinear_chains(spark, sf_dir):
+    return chains.shared_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_suffix_sort(spark, sf_dir):
     found = repeats.without_repeats(table(spark, sf_dir, "documents"))
