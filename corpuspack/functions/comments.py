@@ -7,8 +7,23 @@ from pyspark.sql import functions as F
 
 # Languages whose comments can be stripped.
 STRIPPABLE = (
-    "c cpp csharp fsharp go groovy java javascript jsx kotlin php rust scala swift tsx typescript"
-).split()
+    "c",
+    "cpp",
+    "csharp",
+    "fsharp",
+    "go",
+    "groovy",
+    "java",
+    "javascript",
+    "jsx",
+    "kotlin",
+    "php",
+    "rust",
+    "scala",
+    "swift",
+    "tsx",
+    "typescript",
+)
 
 # Literals are captured and kept; comments are matched and dropped. A literal that is
 # never closed runs to the end of the text. A block comment that is never closed

@@ -39,13 +39,12 @@ def ignore_regexes(files: DataFrame, ignore_name: str) -> DataFrame:
     """One row per ignore file: ``repo`` and single expressions for its patterns.
 
     ``walk_regex`` covers the patterns that can hide whole directories (see
-    ``walk_globs``), null if there is none. Only ignore files pass through Python. A group
-    holds the lines of one file.
+    ``walk_globs``), null if there is none. Only ignore files pass through Python, one row each.
     """
-    grouped = ignore_patterns(files, ignore_name).groupBy("repo")
-    regexes = grouped.agg(F.collect_list("pattern").alias("globs")).select(
-        "repo", _globs_as_regexes("globs").alias("regexes")
-    )
+    lines = F.transform(F.split("content", _LINE_BREAK), lambda line: F.regexp_replace(line, _EDGE_SPACE, ""))
+    globs = F.filter(lines, lambda line: (line != "") & ~F.startswith(line, F.lit("#")))
+    rules = files.where(F.col("path") == ignore_name).select("repo", globs.alias("globs")).where(F.size("globs") > 0)
+    regexes = rules.select("repo", _globs_as_regexes("globs").alias("regexes"))
     return regexes.select("repo", "regexes.*")
 
 

@@ -33,7 +33,9 @@ def tree_entries(listings: DataFrame) -> DataFrame:
 
 def truncated_listings(listings: DataFrame) -> DataFrame:
     """Whether any listing of a repository was cut short."""
-    flag = F.get_json_object("tree_json", "$.truncated") == "true"
+    # JSON true and a number other than 0 both say so
+    said = F.lower(F.get_json_object("tree_json", "$.truncated"))
+    flag = (said == "true") | F.coalesce(said.try_cast("double") != 0, F.lit(False))
     return listings.groupBy("repo").agg(F.max(F.coalesce(flag, F.lit(False))).alias("truncated"))
 
 

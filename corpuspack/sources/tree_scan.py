@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from corpuspack.config import PackConfig
+from corpuspack.plans.pack import Pack, pack_files
+
 _SCHEMA = "repo string, path string, raw binary, size_bytes bigint"
 _ARROW = pa.schema(
     [("repo", pa.string()), ("path", pa.string()), ("raw", pa.binary()), ("size_bytes", pa.int64())]
@@ -41,7 +44,8 @@ def _below(folder: str) -> tuple[list[os.DirEntry], list[os.DirEntry]]:
     """Sub-directories and files; linked directories count as files and are not entered."""
     try:
         entries = sorted(os.scandir(folder), key=lambda e: e.name)
-    except OSError:
+    except (FileNotFoundError, NotADirectoryError, PermissionError):
+        # gone since it was listed, or closed to us; any other error is not silence but failure
         return [], []
     dirs = [e for e in entries if e.is_dir(follow_symlinks=False)]
     files = [e for e in entries if not e.is_dir(follow_symlinks=False)]
@@ -54,8 +58,9 @@ def _text(name: str) -> str:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, max_file_bytes: int, tasks: int) -> None:
+    def __init__(self, root: str, max_file_bytes: int, tasks: int, ignore_name: str) -> None:
         self.root = root
+        self.ignore_name = ignore_name
         self.max_file_bytes = max_file_bytes
         self.tasks = tasks
 
@@ -94,14 +99,15 @@ class _Reader(DataSourceReader):
     def _row(self, repo: str, path: str, entry: os.DirEntry) -> dict | None:
         try:
             size = entry.stat(follow_symlinks=False).st_size
-        except OSError:
+        except FileNotFoundError:
             return None
         raw = None
-        if size <= self.max_file_bytes:
+        # an ignore file decides about others, so it is read whatever its size
+        if size <= self.max_file_bytes or path == self.ignore_name:
             try:
                 with open(entry.path, "rb") as handle:
                     raw = handle.read()
-            except OSError:
+            except (FileNotFoundError, IsADirectoryError, PermissionError):
                 pass
         return {"repo": _text(repo), "path": _text(path), "raw": raw, "size_bytes": size}
 
@@ -126,7 +132,8 @@ class SourceTrees(DataSource):
     """Every directory below ``path`` is a repository. Hidden names are kept.
 
     Options: ``path``, a folder all executors can see; ``max_file_kb``, above which text is
-    not read (``raw`` is null); ``tasks``, how many sub-trees to aim for.
+    not read (``raw`` is null); ``tasks``, how many sub-trees to aim for; ``ignore_name``, the
+    root files that are read at any size.
     """
 
     @classmethod
@@ -138,14 +145,22 @@ class SourceTrees(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         max_kb = int(self.options.get("max_file_kb", "500"))
-        return _Reader(self.options["path"], max_kb * 1024, int(self.options.get("tasks", "200")))
+        tasks = int(self.options.get("tasks", "200"))
+        return _Reader(self.options["path"], max_kb * 1024, tasks, self.options.get("ignore_name", ".packignore"))
 
 
-def scan_trees(spark: SparkSession, folder: str, max_file_kb: int = 500, tasks: int = 200) -> DataFrame:
+def scan_trees(
+    spark: SparkSession, folder: str, max_file_kb: int = 500, tasks: int = 200, ignore_name: str | None = ".packignore"
+) -> DataFrame:
     """All repositories below ``folder``, hidden files included, as raw files."""
     spark.dataSource.register(SourceTrees)
     reader = spark.read.format("source_trees").option("max_file_kb", max_file_kb).option("tasks", tasks)
-    return reader.load(folder)
+    return reader.option("ignore_name", ignore_name or "").load(folder)
+
+
+def pack_trees(spark: SparkSession, folder: str, config: PackConfig, tasks: int = 200) -> Pack:
+    """Pack every repository below ``folder``. What is read follows the run's own limits."""
+    return pack_files(scan_trees(spark, folder, config.max_file_kb, tasks, config.ignore_name), config)
 
 
 def scan_visible(spark: SparkSession, folder: str, repo_depth: int = 1) -> DataFrame:
@@ -161,7 +176,7 @@ def scan_visible(spark: SparkSession, folder: str, repo_depth: int = 1) -> DataF
     parts = F.split(relative, "/")
     return files.select(
         F.array_join(F.slice(parts, 1, repo_depth), "/").alias("repo"),
-        F.array_join(F.slice(parts, repo_depth + 1, 10_000), "/").alias("path"),
+        F.array_join(F.slice(parts, F.lit(repo_depth + 1), F.greatest(F.size(parts), F.lit(0))), "/").alias("path"),
         F.col("content").alias("raw"),
         F.col("length").alias("size_bytes"),
     )
