@@ -58,7 +58,7 @@ def _text(name: str) -> str:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, max_file_bytes: int, tasks: int, ignore_name: str) -> None:
+    def __init__(self, root: str, max_file_bytes: int, tasks: int, ignore_name: str = ".packignore") -> None:
         self.root = root
         self.ignore_name = ignore_name
         self.max_file_bytes = max_file_bytes
