@@ -74,20 +74,21 @@ def propagate(rows: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, int]:
     lined_up = materialised(ranked(queued, ["state", "queue"], ["order", "row"], "nth", "shard-queues"), "shard-lined-up")
 
     # At most shards * shards rows: how many want to go from where to where, and how many are free to make room.
-    wanted = lined_up.where("state = 'mover'").groupBy("shard", "wish").count().collect()
-    free = {r["shard"]: r["count"] for r in lined_up.where("state = 'free'").groupBy("shard").count().collect()}
+    queues = lined_up.where("state <> 'settled'").groupBy("state", "shard", "wish").count().collect()
+    wanted = [r for r in queues if r["state"] == "mover"]
+    free = {r["shard"]: r["count"] for r in queues if r["state"] == "free"}
     if not wanted:
         return rows, 0
     quota = quotas({(r["shard"], r["wish"]): r["count"] for r in wanted}, free, shards)
     quota_of = F.create_map(*[F.lit(x) for pair in quota.items() for x in pair])
     accepted = (F.col("state") == "mover") & (F.col("nth") < quota_of[F.col("wish")])
-    moved = materialised(lined_up.withColumn("accepted", accepted), "shard-accepted")
+    moved = lined_up.withColumn("accepted", accepted)
 
-    change = {s: 0 for s in range(shards)}
+    change, total = {s: 0 for s in range(shards)}, 0
     for r in moved.where("accepted").groupBy("shard", "wish").count().collect():
         change[r["shard"]] -= r["count"]
         change[r["wish"]] += r["count"]
-    total = moved.where("accepted").count()
+        total += r["count"]
     # Shards with a surplus give their first free rows, shards with a deficit take them, both in order of shard.
     give = [(s, change[s]) for s in range(shards) if change[s] > 0]
     take = [(s, -change[s]) for s in range(shards) if change[s] < 0]
