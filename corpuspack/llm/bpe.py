@@ -21,8 +21,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,9 @@ MATCH_LEAF = 64
 #: Bytes up to which merges are found by scanning all neighbours.
 SCANNED = 24
 #: Matches remembered by a worker, in two halves: when the newer half is full, it becomes the older one.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Pairs of tokens of which a worker remembers whether they stay apart.
+REMEMBERED_PAIRS = 400_000
 
 _CUT = regex.compile(r"(?<=\S)(?=\s)")
 
@@ -50,9 +52,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
+class Matches(dict):
+    """Packed tokens (4 bytes each) of matches, encoded when first asked for; no more than a bound is remembered."""
+
+    def __init__(self, encode: Callable[[str], bytes], longest: int):
+        super().__init__()
+        self.encode, self.longest, self.older = encode, longest, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.older.get(piece) or self.encode(piece)
+        if len(piece) <= self.longest:
+            self[piece] = packed
+        return packed
+
+    def age(self) -> None:
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 class Segment:
-    """An encoded piece of text. ``head`` and ``tail`` are the (characters, tokens) before its first
-    and last place where a match is certain to end, or None."""
+    """An encoded piece of text, its tokens packed. ``head`` and ``tail`` are the (characters, bytes of tokens)
+    before its first and last place where a match is certain to end, or None."""
 
     __slots__ = ("text", "ids", "head", "tail")
 
@@ -66,9 +87,14 @@ class Bpe:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.text_leaf, self.match_leaf = text_leaf, match_leaf
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known = Matches(self.match, match_leaf)
         self.pairs: dict[tuple[int, int], bool] = {}
+        # Lengths of the tokens that begin with up to three bytes, longest first.
+        lengths: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) >= 3:
+                lengths.setdefault(token[:3], set()).add(len(token))
+        self.lengths = {start: (*sorted(found, reverse=True), 2, 1) for start, found in lengths.items()}
 
     # Tokens of one match
 
@@ -121,11 +147,44 @@ class Bpe:
     def fits(self, a: int, b: int) -> bool:
         """Whether the two tokens stay apart when their bytes are encoded."""
         if (a, b) not in self.pairs:
-            if len(self.pairs) >= REMEMBERED:
+            if len(self.pairs) >= REMEMBERED_PAIRS:
                 self.pairs.clear()
             self.pairs[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
         return self.pairs[a, b]
 
+    def walked(self, data: bytes) -> list[int]:
+        """What merging gives, found by walking: tokens that stay apart from their neighbours are the only such
+        sequence. Take the longest token that stays apart from the last one; where none leads on, go back."""
+        get, lengths, pairs, fits = self.ranks.get, self.lengths.get, self.pairs.get, self.fits
+        ids: list[int] = []
+        starts: list[int] = []
+        dead: set[int] = set()
+        at, n, last, below = 0, len(data), None, len(data) + 1
+        while at < n:
+            for size in lengths(data[at : at + 3], (2, 1)):
+                stop = at + size
+                if size >= below or stop > n:
+                    continue
+                token = get(data[at:stop])
+                if token is None or stop in dead:
+                    continue
+                if last is None:
+                    break
+                apart = pairs((last, token))
+                if fits(last, token) if apart is None else apart:
+                    break
+            else:
+                dead.add(at)
+                ids.pop()
+                last = ids[-1] if ids else None
+                below = at - starts[-1]
+                at = starts.pop()
+                continue
+            ids.append(token)
+            starts.append(at)
+            at, last, below = stop, token, n + 1
+        return ids
+
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         reach = 1
         while True:
@@ -139,30 +198,20 @@ class Bpe:
 
     def tree(self, data: bytes) -> list[int]:
         if len(data) <= self.match_leaf:
-            return self.merged(data)
+            return self.walked(data)
         half = len(data) // 2
         return self.joined(self.tree(data[:half]), self.tree(data[half:]))
 
-    def match(self, piece: str) -> tuple[int, ...]:
+    def match(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.ranks.get(data)
-        return (whole,) if whole is not None else tuple(self.tree(data))
+        return array("i", [whole] if whole is not None else self.tree(data)).tobytes()
 
     # Matches of a text
 
-    def leaf(self, text: str) -> list[int]:
-        if len(self.known) >= REMEMBERED // 2:
-            self.known, self.older = {}, self.known
-        known, ids = self.known, []
-        extend = ids.extend
-        for piece in self.find(text):
-            tokens = known.get(piece)
-            if tokens is None:
-                tokens = self.older.get(piece) or self.match(piece)
-                if len(piece) <= self.match_leaf:
-                    known[piece] = tokens
-            extend(tokens)
-        return ids
+    def leaf(self, text: str) -> bytes:
+        self.known.age()
+        return b"".join(map(self.known.__getitem__, self.find(text)))
 
     def segment(self, text: str) -> Segment:
         """A leaf, encoded between the places where matches are certain to end."""
@@ -199,10 +248,14 @@ class Bpe:
         half = len(text) // 2
         return self.combined(self.text_tree(text[:half]), self.text_tree(text[half:]))
 
-    def encode(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> bytes:
+        """Tokens of a text, 4 bytes each."""
         text = text or ""
         return self.leaf(text) if len(text) <= self.text_leaf else self.text_tree(text).ids
 
+    def encode(self, text: str | None) -> list[int]:
+        return array("i", self.packed(text)).tolist()
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -212,25 +265,28 @@ def _last_cut(text: str):
     return regex.search(r"(?r)(?<=\S)(?=\s)", text)
 
 
-def _ids_batch(keys: list, ids: list[list[int]], key_type: pa.DataType) -> pa.RecordBatch:
-    offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(x) for x in ids], out=offsets[1:])
-    values = np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1])
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+def _ids_batch(keys: list, packed: list[bytes], key_type: pa.DataType) -> pa.RecordBatch:
+    offsets = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
+    values = pa.array(np.frombuffer(b"".join(packed), np.int32))
+    lists = pa.ListArray.from_arrays(pa.array(offsets), values)
     return pa.RecordBatch.from_arrays([pa.array(keys, key_type), lists], names=["doc_id", "ids"])
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(doc_id, ids): the tokens of every whole text. Ranks are sent to workers: a vocabulary has a fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    """(doc_id, ids): the tokens of every whole text. Ranks are sent to workers: a vocabulary has a fixed size.
+
+    What is sent lives as long as a worker does, so an encoder put there keeps what it remembers for later tasks.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast({"ranks": ranks, "encoder": None})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(shared.value, pattern)
+        bpe = shared.value["encoder"] = shared.value["encoder"] or Bpe(shared.value["ranks"], pattern)
         keys, ids, weight = [], [], 0
         for key, text in rows_of(batches, "doc_id", "text"):
             keys.append(key)
-            ids.append(bpe.encode(text))
-            weight += 12 * len(ids[-1]) + 16
+            ids.append(bpe.packed(text))
+            weight += len(ids[-1]) + 16
             if weight >= FLUSH_BYTES:
                 yield _ids_batch(keys, ids, pa.int64())
                 keys, ids, weight = [], [], 0
@@ -245,22 +301,27 @@ def decode_ids(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {rank: token for token, rank in shared.value.items()}
+        tokens = [None] * (max(shared.value.values(), default=-1) + 1)
+        for token, rank in shared.value.items():
+            tokens[rank] = token
+        tokens = pa.array(tokens, pa.binary())
         for batch in batches:
             start = 0
             while start < batch.num_rows:
                 part = batch.slice(start, 256)
                 start += 256
                 ids = part.column("ids")
-                flat = list(map(tokens.__getitem__, ids.flatten().to_pylist()))
-                sizes = [len(x) if x.is_valid else 0 for x in ids]
-                data, at = [], 0
-                for n in sizes:
-                    data.append(b"".join(flat[at : at + n]))
-                    at += n
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), ids, pa.array(data, pa.binary())], names=["doc_id", "ids", "data"]
-                )
+                pieces = tokens.take(ids.flatten())
+                if pieces.null_count:
+                    raise ValueError("an id is not in the vocabulary")
+                # The bytes of all tokens follow one another, so a row's bytes lie between two of their offsets.
+                _, ends, data = pieces.buffers()
+                ends = np.frombuffer(ends, np.int32)[pieces.offset :]
+                sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                rows = np.concatenate(([0], np.cumsum(sizes)))
+                offsets = pa.py_buffer(ends[rows].tobytes()) if len(pieces) else pa.py_buffer(bytes(4 * len(rows)))
+                whole = pa.Array.from_buffers(pa.binary(), len(ids), [None, offsets, data])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, whole], names=["doc_id", "ids", "data"])
 
     wanted = encoded.select("doc_id", "ids")
     return wanted.mapInArrow(work, "doc_id bigint, ids array<int>, data binary")
