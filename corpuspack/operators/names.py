@@ -7,23 +7,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuspack.functions.text import anchor_slug, split_name
-from corpuspack.operators.ordered import WINDOW_ROWS, rank_within
+from corpuspack.operators.ordered import rank_within
 from corpuspack.session import materialised
 
+#: Families of clashing directories up to this size are resolved in one task each.
+FAMILY_ROWS = 1_000_000
 
-def repeated_anchors(files: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
+
+def repeated_anchors(files: DataFrame) -> DataFrame:
     """Files whose slug an earlier file of the same document already has.
 
     Usually few, which is why only these are joined back onto the files.
     """
     slugs = files.select("repo", "output", "path", anchor_slug(F.col("path")).alias("slug"))
-    ranked = rank_within(slugs, ["repo", "output", "slug"], ["path"], "nth", window_rows)
+    ranked = rank_within(slugs, ["repo", "output", "slug"], ["path"], "nth")
     return ranked.where("nth > 1").select("repo", "path", "nth")
 
 
-def with_anchors(files: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
+def with_anchors(files: DataFrame) -> DataFrame:
     """Add ``anchor``: the slug, numbered from the second file that has it."""
-    repeats = materialised(repeated_anchors(files, window_rows), "anchors")
+    repeats = materialised(repeated_anchors(files), "anchors")
     slug = anchor_slug(F.col("path"))
     numbered = F.concat(slug, F.lit("-"), F.col("nth").cast("string"))
     return (
@@ -38,14 +41,21 @@ def _numbered(stem: Column, number: Column) -> Column:
 
 
 def _resolve_family(dirs: pd.DataFrame) -> pd.DataFrame:
-    """Names of one family of directories, taken in directory order."""
+    """Names of one family of directories, taken in directory order.
+
+    What is taken stays taken, so each base goes on from the number that it came to.
+    """
     dirs = dirs.sort_values("sort_key")
     used: set[str] = set()
+    reached: dict[str, int] = {}
     names = []
     for base in dirs.base:
-        name, number = base, 2
-        while name in used:
-            name, number = f"{base.removesuffix('.md')}-{number}.md", number + 1
+        name = base
+        if name in used:
+            stem, number = base.removesuffix(".md"), reached.get(base, 2)
+            while (name := f"{stem}-{number}.md") in used:
+                number += 1
+            reached[base] = number + 1
         used.add(name)
         names.append(name)
     return dirs.assign(output=names)[["repo", "dir_key", "output"]]
@@ -72,7 +82,7 @@ def _stem(base: Column) -> Column:
     return F.regexp_replace(base, r"\.md\z", "")
 
 
-def split_names(dirs: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
+def split_names(dirs: DataFrame, family_rows: int = FAMILY_ROWS) -> DataFrame:
     """Document name of each ``(repo, dir_key)``, unique within the repository.
 
     A repeated base name is numbered by its rank in directory order. That is exact
@@ -81,7 +91,7 @@ def split_names(dirs: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
     resolved name by name: in one task each if the largest fits, in rounds otherwise.
     """
     based = dirs.select("repo", "dir_key", split_name(F.col("dir_key")).alias("base"))
-    ranked = rank_within(based, ["repo", "base"], ["dir_key"], "nth", window_rows)
+    ranked = rank_within(based, ["repo", "base"], ["dir_key"], "nth")
     stem = _stem(F.col("base"))
     named = ranked.select(
         "repo",
@@ -101,7 +111,7 @@ def split_names(dirs: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
     if largest is None:
         return named.select("repo", "dir_key", "output")
     plain = named.join(clashing, ["repo", "family"], "left_anti").select("repo", "dir_key", "output")
-    if largest > window_rows:
+    if largest > family_rows:
         return plain.unionByName(_resolve_in_rounds(clashes))
     resolved = (
         clashes.select("repo", "family", "dir_key", "base", F.encode("dir_key", "UTF-8").alias("sort_key"))

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from corpuspack.session import checkpointed
 
-#: Groups up to this many rows are ranked by an ordinary window in one task.
-WINDOW_ROWS = 1_000_000
-
 
 def ordered_blocks(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` sorted globally by ``order``, one block per partition, numbered by ``block``.
@@ -27,19 +24,11 @@ def ordered_blocks(df: DataFrame, order: list[str]) -> DataFrame:
     return checkpointed(ranged.withColumn("block", F.spark_partition_id()))
 
 
-def rank_within(
-    df: DataFrame, keys: list[str], order: list[str], name: str, window_rows: int = WINDOW_ROWS
-) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Add the 1-based position of each row in its group.
 
-    The largest group is measured first. If it fits a task, a plain window does the
-    work; otherwise groups are ranked per block and shifted by what earlier blocks hold.
+    Groups are ranked per block and shifted by what earlier blocks hold, so a group of any size is spread.
     """
-    sizes = df.groupBy(*keys).count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    if largest <= window_rows:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-
     blocks = ordered_blocks(df, keys + order)
     per_block = blocks.groupBy(*keys, "block").count()
     earlier = (

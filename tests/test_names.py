@@ -1,13 +1,13 @@
 import random
+import time
 
-import pytest
+import pandas as pd
 
-from corpuspack.operators.names import split_names, with_anchors
+from corpuspack.operators.names import _resolve_family, split_names, with_anchors
 from corpuspack.operators.ordered import rank_within
 
 
-@pytest.mark.parametrize("window_rows", [1_000_000, 0])
-def test_rank_within_both_ways(spark, window_rows):
+def test_rank_within(spark):
     rng = random.Random(5)
     keys = ["hot"] * 500 + [f"k{i % 40}" for i in range(200)]
     rows = [(k, f"{i:05d}") for i, k in enumerate(keys)]
@@ -20,7 +20,7 @@ def test_rank_within_both_ways(spark, window_rows):
     for k, v in sorted(rows):
         seen[k] = seen.get(k, 0) + 1
         expected[k, v] = seen[k]
-    got = {(r.k, r.v): r.n for r in rank_within(df, ["k"], ["v"], "n", window_rows).collect()}
+    got = {(r.k, r.v): r.n for r in rank_within(df, ["k"], ["v"], "n").collect()}
     assert got == expected
 
 
@@ -45,9 +45,9 @@ def test_anchors_are_scoped_to_their_document(spark):
 
 def test_skewed_slugs_rank_without_one_task(spark):
     paths = [f"dir{'/' * 1}x" + "-" * i for i in range(60)]
-    plain = {r.path: r.anchor for r in with_anchors(placed(spark, paths)).collect()}
-    spread = {r.path: r.anchor for r in with_anchors(placed(spark, paths), window_rows=0).collect()}
-    assert plain == spread and len(set(plain.values())) == 60
+    got = {r.path: r.anchor for r in with_anchors(placed(spark, paths)).collect()}
+    slug = got[min(paths)]
+    assert [got[p] for p in sorted(paths)] == [slug] + [f"{slug}-{n}" for n in range(2, 61)]
 
 
 def serial_names(dirs):
@@ -79,7 +79,7 @@ def test_split_names(spark):
     }
     expected = {r: serial_names(ds) for r, ds in repos.items()}
     assert named(spark, repos) == expected
-    assert named(spark, repos, window_rows=0) == expected
+    assert named(spark, repos, family_rows=0) == expected
 
 
 def test_split_names_on_random_directories(spark):
@@ -90,4 +90,14 @@ def test_split_names_on_random_directories(spark):
         repos[f"r{i}"] = sorted({p.strip("/") for p in pool if "//" not in p and p.strip("/")})
     expected = {r: serial_names(ds) for r, ds in repos.items()}
     assert named(spark, repos) == expected
-    assert named(spark, repos, window_rows=0) == expected
+    assert named(spark, repos, family_rows=0) == expected
+
+
+def test_a_large_family_is_resolved_in_linear_time():
+    bases = ["a.md"] * 200_000 + ["a-7.md"]
+    keys = [f"{i:07d}" for i in range(len(bases))]
+    dirs = pd.DataFrame({"repo": "r", "dir_key": keys, "base": bases, "sort_key": keys})
+    started = time.monotonic()
+    names = _resolve_family(dirs)["output"].tolist()
+    assert time.monotonic() - started < 20
+    assert names[:3] == ["a.md", "a-2.md", "a-3.md"] and names[-2:] == ["a-200000.md", "a-7-2.md"]
