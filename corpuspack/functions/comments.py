@@ -47,7 +47,7 @@ def strip_comments(content: Column, language: Column) -> Column:
     bare = F.when(
         has_comment, F.regexp_replace(content, F.lit(_LITERAL_OR_COMMENT), F.lit("$1"))
     ).otherwise(content)
-    return F.when(language.isin(STRIPPABLE), collapse_blank_lines(bare)).otherwise(content)
+    return F.when(language.isin(*STRIPPABLE), collapse_blank_lines(bare)).otherwise(content)
 
 
 def collapse_blank_lines(text: Column) -> Column:
