@@ -2,9 +2,11 @@
 
 Documents are linked if their texts are equal; a group's documents are all neighbours, so what a document sees of its
 neighbours is how many of the group each shard has. Every document starts in a shard by its position in a random order, so counts differ by one at
-most. In each round, documents of a group move towards the shard that has most of it. A shard that takes in more than
-it gives away hands over as many documents without links in return; quotas bound what it can take. Every round keeps
-the number of rows in each shard, so the law is ``rows``: counts at most one apart. Rounds end when nothing moves.
+most. In each round, documents of a group move towards the shard that has most of it. The accepted moves are the most that
+keep every shard's number of rows: swaps and longer cycles of movers, and documents without links that make room in
+return. The law is ``rows``: counts at most one apart. Where none can move, documents move towards the shard with the
+second most of their group, and so on, but never to one with less of it than their own, so every move lowers the number
+of neighbours apart. Rounds end when no choice, under any of SALTS orders of tied shards, lets a document move.
 
 Groups larger than a shard fill shards as far as quotas allow. All of it is joins, aggregates and range sorts: a
 position in a queue comes from blocks of a global order and sums over blocks, never from one task with a whole queue.
@@ -23,7 +25,8 @@ from corpuspack.llm.prefix import ranked
 from corpuspack.session import materialised
 
 SHARDS = 8
-ROUNDS = 6
+#: Orders of tied shards that are tried before a round counts as one in which nothing can move.
+SALTS = 8
 
 
 def placed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -52,43 +55,64 @@ def placed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
 
 
-def wishes(rows: DataFrame) -> DataFrame:
-    """Linked rows with ``wish``: the shard that has most of the group. Ties fall by a hash of group and shard."""
+def groups(rows: DataFrame) -> DataFrame:
+    """(link, seen): how many rows of a group each shard has, as an array of (n, shard)."""
     seen = rows.where("link is not null").groupBy("link", "shard").agg(F.count("*").alias("n"))
-    tie = F.xxhash64("link", "shard")
-    most = seen.groupBy("link").agg(F.max(F.struct("n", tie.alias("tie"), "shard")).alias("most"))
-    return most.select("link", F.col("most.shard").alias("wish"))
+    return seen.groupBy("link").agg(F.collect_list(F.struct("n", "shard")).alias("seen"))
+
+
+def preferences(found: DataFrame, salt: int) -> DataFrame:
+    """(link, seen): shards by what they have of the group, most first. Ties fall by a hash of group, shard and salt."""
+    with_tie = F.transform(
+        "seen", lambda x: F.struct(x["n"].alias("n"), F.xxhash64("link", x["shard"], F.lit(salt)).alias("tie"), x["shard"].alias("shard"))
+    )
+    return found.select("link", F.sort_array(with_tie, asc=False).alias("seen"))
+
+
+def wanted(seen: DataFrame) -> dict[int, dict[tuple[int, int], int]]:
+    """For each choice, how many rows could go from where to where: at most shards ** 3 numbers."""
+    ranked_shards = seen.select("seen", F.posexplode("seen").alias("rank", "at")).where("rank > 0")
+    steps = ranked_shards.select("seen", "at", F.explode(F.sequence(F.lit(0), F.col("rank") - 1)).alias("choice"))
+    to = F.element_at("seen", F.col("choice") + 1)["shard"]
+    counts = steps.groupBy("choice", F.col("at.shard").alias("shard"), to.alias("wish")).agg(F.sum("at.n").alias("n")).collect()
+    out: dict[int, dict[tuple[int, int], int]] = {}
+    for r in counts:
+        out.setdefault(r["choice"], {})[r["shard"], r["wish"]] = r["n"]
+    return out
 
 
 def propagate(rows: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, int]:
     """One round: the rows with their new shards, and how many moved towards their neighbours."""
+    found = materialised(groups(rows), "shard-groups")
+    free = {r["shard"]: r["count"] for r in rows.where("link is null").groupBy("shard").count().collect()}
+    for salt in range(SALTS):
+        seen = preferences(found, salt)
+        for choice, counts in sorted(wanted(seen).items()):
+            accepted = flows(counts, free, shards)
+            if accepted:
+                return moved(rows, seen, choice, accepted, shards), sum(accepted.values())
+    return rows, 0
+
+
+def moved(rows: DataFrame, seen: DataFrame, choice: int, accepted: dict[tuple[int, int], int], shards: int) -> DataFrame:
+    """The rows after the accepted numbers of them went from where to where, free rows making room."""
     # rows without a link stay out of the join: they would all meet at its null key
-    linked = rows.where("link is not null").join(wishes(rows), "link").select(*rows.columns, "wish")
+    own = F.array_position(F.transform("seen", lambda x: x["shard"]), F.col("shard"))
+    wish = F.when(own > choice + 1, F.get("seen", F.lit(choice))["shard"])
+    linked = rows.where("link is not null").join(seen, "link").select(*rows.columns, wish.alias("wish"))
     with_wish = linked.unionByName(rows.where("link is null").withColumn("wish", F.lit(None).cast("int")))
-    movers = F.col("wish").isNotNull() & (F.col("wish") != F.col("shard"))
+    movers = F.col("wish").isNotNull()
     state = F.when(movers, F.lit("mover")).when(F.col("link").isNull(), F.lit("free")).otherwise(F.lit("settled"))
-    # queues: movers by the shard they wish for, groups together; free rows by the shard they are in
-    queue = F.when(movers, F.col("wish")).otherwise(F.col("shard"))
+    # queues: movers by where they are and wish to go, groups together; free rows by the shard they are in
+    queue = F.when(movers, F.col("shard") * shards + F.col("wish")).otherwise(F.col("shard"))
     queued = with_wish.withColumn("state", state).withColumn("queue", queue)
     queued = queued.withColumn("order", F.when(movers, F.xxhash64("link")).otherwise(F.xxhash64("row")))
-    lined_up = materialised(ranked(queued, ["state", "queue"], ["order", "row"], "nth", "shard-queues"), "shard-lined-up")
-
-    # At most shards * shards rows: how many want to go from where to where, and how many are free to make room.
-    queues = lined_up.where("state <> 'settled'").groupBy("state", "shard", "wish").count().collect()
-    wanted = [r for r in queues if r["state"] == "mover"]
-    free = {r["shard"]: r["count"] for r in queues if r["state"] == "free"}
-    if not wanted:
-        return rows, 0
-    quota = quotas({(r["shard"], r["wish"]): r["count"] for r in wanted}, free, shards)
-    quota_of = F.create_map(*[F.lit(x) for pair in quota.items() for x in pair])
-    accepted = (F.col("state") == "mover") & (F.col("nth") < quota_of[F.col("wish")])
-    moved = lined_up.withColumn("accepted", accepted)
-
-    change, total = {s: 0 for s in range(shards)}, 0
-    for r in moved.where("accepted").groupBy("shard", "wish").count().collect():
-        change[r["shard"]] -= r["count"]
-        change[r["wish"]] += r["count"]
-        total += r["count"]
+    lined_up = ranked(queued, ["state", "queue"], ["order", "row"], "nth", "shard-queues")
+
+    change = {s: 0 for s in range(shards)}
+    for (s, t), n in accepted.items():
+        change[s] -= n
+        change[t] += n
     # Shards with a surplus give their first free rows, shards with a deficit take them, both in order of shard.
     give = [(s, change[s]) for s in range(shards) if change[s] > 0]
     take = [(s, -change[s]) for s in range(shards) if change[s] < 0]
@@ -105,29 +129,56 @@ def propagate(rows: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, int]:
             lands = F.when(place < stop, F.lit(t)).otherwise(lands)
         target = F.when((F.col("state") == "free") & (F.col("shard") == s) & (F.col("nth") < n), lands).otherwise(target)
         offset += n
-    new = F.when(F.col("accepted"), F.col("wish")).otherwise(F.coalesce(target, F.col("shard")))
-    return materialised(moved.withColumn("shard", new.cast("int")).select(*rows.columns), "shard-round"), total
+    quota_of = F.create_map(*[F.lit(x) for (s, t), n in accepted.items() for x in (s * shards + t, n)])
+    goes = (F.col("state") == "mover") & (F.col("nth") < F.coalesce(quota_of[F.col("queue")], F.lit(0)))
+    new = F.when(goes, F.col("wish")).otherwise(F.coalesce(target, F.col("shard")))
+    return materialised(lined_up.withColumn("shard", new.cast("int")).select(*rows.columns), "shard-round")
 
 
-def quotas(wanted: dict[tuple[int, int], int], free: dict[int, int], shards: int) -> dict[int, int]:
-    """How many movers each shard accepts: no more than it can make room for with its free rows.
+def flows(wanted: dict[tuple[int, int], int], free: dict[int, int], shards: int) -> dict[tuple[int, int], int]:
+    """The most moves that leave every shard's number of rows as it is, with free rows making room.
 
-    Departures make room too, but which movers are accepted elsewhere isn't known yet, so they are left out; the next
-    round sees what is left.
+    A circulation: moves are arcs between shards, and free rows go through one more node. Cycles that gain
+    are taken until none is left, so swaps, longer cycles and free rows all count, whatever arcs they share.
     """
-    arriving = {t: sum(n for (_, w), n in wanted.items() if w == t) for t in range(shards)}
-    if all(arriving[t] <= free.get(t, 0) for t in arriving):
-        return arriving
-    return {t: min(arriving[t], free.get(t, 0)) for t in arriving}
-
-
-def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    pool, n = shards, shards + 1
+    # (from, to, gain) and what is left of it; the reverse of arc i is i ^ 1
+    arcs: list[tuple[int, int, int]] = []
+    left: list[int] = []
+    for s, t, count, gain in (
+        [(s, t, count, 1) for (s, t), count in sorted(wanted.items())]
+        + [(t, pool, count, 0) for t, count in sorted(free.items())]
+        + [(pool, s, sum(free.values()), 0) for s in range(shards)]
+    ):
+        arcs += [(s, t, gain), (t, s, -gain)]
+        left += [count, 0]
+    while True:
+        best, by, last = [0] * n, [-1] * n, -1
+        for _ in range(n):
+            last = -1
+            for i, (s, t, gain) in enumerate(arcs):
+                if left[i] and best[s] + gain > best[t]:
+                    best[t], by[t], last = best[s] + gain, i, t
+            if last < 0:
+                return {(s, t): left[2 * k + 1] for k, (s, t) in enumerate(sorted(wanted)) if left[2 * k + 1]}
+        for _ in range(n):
+            last = arcs[by[last]][0]
+        cycle, at = [], last
+        while not cycle or at != last:
+            cycle.append(by[at])
+            at = arcs[by[at]][0]
+        most = min(left[i] for i in cycle)
+        for i in cycle:
+            left[i] -= most
+            left[i ^ 1] += most
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row."""
     rows = materialised(placed(docs, shards), "shard-start")
-    for _ in range(rounds):
-        rows, moved = propagate(rows, shards)
-        if not moved:
-            break
+    count = 1
+    while count:
+        rows, count = propagate(rows, shards)
     slots = ranked(rows, ["shard"], ["row"], "slot", "shard-slots")
     return slots.select(
         "doc_id",

@@ -1,6 +1,7 @@
 """Every operator against brute force, on rows with nulls, empty and repeated texts, ties and extra columns."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -178,6 +179,37 @@ def test_shards(docs):
     assert len(rows) == docs.count()
 
 
+def test_shards_when_every_row_has_a_copy(spark):
+    rows = [(k, "text %d" % (k % 60)) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+
+    def apart(placed):
+        held = defaultdict(Counter)
+        for r in placed:
+            held[rows[r["doc_id"]][1]][r["shard"]] += 1
+        return sum(sum(c.values()) ** 2 - sum(n * n for n in c.values()) for c in held.values()) // 2
+
+    found = sharding.sharded(docs, shards=4).collect()
+    assert Counter(Counter(r["shard"] for r in found).values()) == {38: 2, 37: 2}
+    assert 5 * apart(found) < apart(sharding.placed(docs, 4).collect())
+
+
+def test_flows_take_swaps_cycles_and_free_rows():
+    assert sharding.flows({(0, 1): 5, (1, 0): 3}, {}, 2) == {(0, 1): 3, (1, 0): 3}
+    assert sharding.flows({(0, 1): 2, (1, 2): 4, (2, 0): 3}, {}, 3) == {(0, 1): 2, (1, 2): 2, (2, 0): 2}
+    assert sharding.flows({(0, 1): 5, (1, 0): 3}, {1: 1}, 2) == {(0, 1): 4, (1, 0): 3}
+    assert sharding.flows({(0, 1): 5}, {0: 9}, 2) == {}
+    draw = random.Random(4)
+    for _ in range(60):
+        wanted = {(s, t): draw.randint(0, 2) for s in range(3) for t in range(3) if s != t and draw.random() < 0.7}
+        free = {s: draw.randint(0, 1) for s in range(3)}
+        fits = lambda f: all(sum(n * ((t == x) - (s == x)) for (s, t), n in f.items()) <= free[x] for x in range(3))
+        every = (dict(zip(wanted, f)) for f in itertools.product(*[range(n + 1) for n in wanted.values()]))
+        got = sharding.flows(wanted, free, 3)
+        assert fits(got) and all(n <= wanted[k] for k, n in got.items())
+        assert sum(got.values()) == max(sum(f.values()) for f in every if fits(f))
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
