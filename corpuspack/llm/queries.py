@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import bpe, chains, exact, jaccard, mixing, neighbours, quality, repeats, sharding, warc
+from corpuspack.llm import alignment, bpe, chains, exact, jaccard, mixing, neighbours, quality, repeats, sharding, warc
 from corpuspack.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ ORACLE: dict[str, str] = {}
 
 #: The vocabulary that the contract names.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def query(function: Query) -> Query:
@@ -173,3 +174,14 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+def aligned_vocabularies() -> tuple[dict[bytes, int], str, bytes]:
+    first, second = map(public_tokenizers.path, ALIGNED)
+    with open(second, "rb") as model:
+        return alignment.read_byte_level(first), public_tokenizers.PATTERN, model.read()
+
+
+@query
+def op12_align_tokens(spark, sf_dir):
+    return alignment.alignment_statistics(table(spark, sf_dir, "documents"), *aligned_vocabularies())
