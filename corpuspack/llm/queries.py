@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import alignment, bpe, chains, exact, jaccard, mixing, neighbours, quality, repeats, sharding, warc
+from corpuspack.llm import alignment, bpe, chains, exact, jaccard, merkle, mixing, neighbours, quality, repeats, sharding, warc
 from corpuspack.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,6 +176,67 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+@query
+def op11_manifest(spark, sf_dir):
+    made = merkle.manifest(table(spark, sf_dir, "documents"))
+    beside = F.transform("path", lambda step: F.concat(step["before"], step["after"]))
+    checked = merkle.folded(F.coalesce("changed", "leaf"), F.col("path"))
+    proof = F.sha2(F.array_join(beside, ""), 256)
+    result = made.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), checked.alias("folded_root"))
+    return result.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _manifest_sql(levels: int = 7, forest_levels: int = 4) -> str:
+    """Trees of up to 16 ** levels documents and 16 ** forest_levels sources, level by level."""
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        """bytes AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+          lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS t)""",
+        """crcs AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),
+          lambda x: ord(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM documents, bytes)""",
+        f"leaves AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN crc % 5 = 0 THEN {leaf(lower)} END AS changed FROM crcs)",
+        """names AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaves GROUP BY source)""",
+        """placed AS (SELECT l.*, tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+          FROM leaves l JOIN names ON l.source IS NOT DISTINCT FROM names.source)""",
+        "t0 AS (SELECT tree, n, place, leaf AS digest FROM placed)",
+    ]
+
+    def rise(name: str, count: int) -> None:
+        for k in range(count):
+            parts.append(
+                f"""{name}{k + 1} AS (SELECT tree, CASE WHEN n > 1 THEN (n + 15) // 16 ELSE 1 END AS n, place // 16 AS place,
+          CASE WHEN any_value(n) > 1 THEN sha256(string_agg(digest, '' ORDER BY place)) ELSE any_value(digest) END AS digest
+          FROM {name}{k} GROUP BY tree, n, place // 16)"""
+            )
+            parts.append(
+                f"""{name}s{k} AS (SELECT tree, n, place,
+          coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+          coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+          FROM {name}{k} WINDOW w AS (PARTITION BY tree, place // 16 ORDER BY place))"""
+            )
+
+    rise("t", levels)
+    parts.append(f"f0 AS (SELECT 0 AS tree, count(*) OVER () AS n, tree AS place, digest FROM t{levels})")
+    rise("f", forest_levels)
+    parts.append("d0 AS (SELECT *, coalesce(changed, leaf) AS folded, '' AS proof FROM placed)")
+    steps = [(f"ts{k}", "d.tree", f"d.place // {16**k}") for k in range(levels)]
+    steps += [(f"fs{k}", "0", f"d.tree // {16**k}") for k in range(forest_levels)]
+    for k, (side, tree, place) in enumerate(steps):
+        parts.append(
+            f"""d{k + 1} AS (SELECT d.doc_id, d.leaf, d.tree, d.place, d.proof || s.before || s.after AS proof,
+          CASE WHEN s.n > 1 THEN sha256(s.before || d.folded || s.after) ELSE d.folded END AS folded
+          FROM d{k} d JOIN {side} s ON s.tree = {tree} AND s.place = {place})"""
+        )
+    return f"""WITH {", ".join(parts)}
+SELECT d.doc_id, d.leaf, s.digest AS subroot, r.digest AS root, sha256(d.proof) AS proof_sha256, d.folded AS folded_root, d.folded = r.digest AS verified
+FROM d{len(steps)} d JOIN t{levels} s ON s.tree = d.tree CROSS JOIN f{forest_levels} r"""
+
+
+ORACLE["op11_manifest"] = _manifest_sql()
+
+
 def aligned_vocabularies() -> tuple[dict[bytes, int], str, bytes]:
     first, second = map(public_tokenizers.path, ALIGNED)
     with open(second, "rb") as model:
