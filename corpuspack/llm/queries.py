@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import alignment, bpe, chains, exact, jaccard, merkle, mixing, neighbours, quality, repeats, sharding, warc
+from corpuspack.llm import alignment, bpe, chains, exact, extraction, jaccard, merkle, mixing, neighbours, quality, repeats, sharding, warc
 from corpuspack.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,3 +246,23 @@ def aligned_vocabularies() -> tuple[dict[bytes, int], str, bytes]:
 @query
 def op12_align_tokens(spark, sf_dir):
     return alignment.alignment_statistics(table(spark, sf_dir, "documents"), *aligned_vocabularies())
+
+
+@query
+def op13_extract(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = extraction.extracted(pages, extraction.train(pages))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+#: For pages whose main text is an <article> of headings and paragraphs, as in the given tables.
+ORACLE["op13_extract"] = r"""
+WITH blocks AS (
+  SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?(h1|p)>') AS parts FROM pages),
+plain AS (
+  SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(
+           regexp_replace(x, '<[^>]*>', ' ', 'g'), '&amp;?', chr(1), 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), chr(1), '&'), '\s+', ' ', 'g'))) AS parts
+  FROM blocks),
+joined AS (SELECT page_id, url, coalesce(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)), '') AS text FROM plain)
+SELECT page_id, url, text, length(text) AS n_chars FROM joined
+"""
