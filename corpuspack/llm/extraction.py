@@ -316,8 +316,11 @@ def train(pages: DataFrame) -> Model:
     forest = Forest.of(made)
     examples = [(forest, _spread(forest, np.concatenate([*map(run_labels, made)])))]
     telling = F.col("html").rlike(r"(?i)<(article|main)[\s>]") & (F.octet_length("html") <= SAMPLE_BYTES)
-    chosen = pages.where(telling).select("html", F.xxhash64("page_id", "url").alias("nth")).orderBy("nth", "html").limit(SAMPLED)
-    found = [Page(row["html"]) for row in chosen.select("html").collect()]
+    told = pages.where(telling).select("html", F.xxhash64("page_id", "url").alias("nth"))
+    # Hashes alone find the bound, so that pages which are not chosen never leave their tasks.
+    last = told.select("nth").orderBy("nth").limit(SAMPLED).agg(F.max("nth")).first()[0]
+    chosen = told.where(F.col("nth") <= F.lit(last)).groupBy("nth").agg(F.min("html").alias("html"))
+    found = [Page(row["html"]) for row in chosen.orderBy("nth").collect()]
     for part, plain in ((found[::2], False), (found[1::2], True)):
         if part:
             label = self_labels(Forest.of(part))
