@@ -144,10 +144,19 @@ def with_decisions(
     return decided.drop("ignore_regex", "walk_regex", "readable")
 
 
+def directory_excluded(
+    dirs: DataFrame, config: PackConfig, ignore_regexes: DataFrame | None, name: str
+) -> DataFrame:
+    """Add ``name`` to directories (repo, path): whether a walk would not enter them."""
+    excludes = _Excludes(config, ignore_regexes is not None)
+    hidden = excludes.matches(F.concat("path", F.lit("/x"))) if config.prune_dirs else F.lit(False)
+    return _with_rules(dirs, ignore_regexes).withColumn(name, hidden).drop("ignore_regex", "walk_regex")
+
+
 def selected_files(
     files: DataFrame, config: PackConfig, ignore_regexes: DataFrame | None = None
 ) -> DataFrame:
-    """The files whose decision would be to include them.
+    """The files whose decision would be to include them, as far as names and sizes tell: a column ``readable`` stays.
 
     The tests run from cheap to dear. The size limit is a plain comparison, so it reaches
     the scan; directories above a file are only looked at where a rule asks for it.
@@ -161,7 +170,7 @@ def selected_files(
     )
     if config.prune_dirs:
         kept = kept.where(~excludes.hidden_by_walk(path))
-    return kept.where(_readable(files)).drop("ignore_regex", "walk_regex", "readable")
+    return kept.drop("ignore_regex", "walk_regex")
 
 
 def decision_counts(decisions: DataFrame) -> DataFrame:

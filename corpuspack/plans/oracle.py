@@ -513,8 +513,8 @@ ORACLE: dict[str, str] = {
         *_decided("v_files"),
         final=f"select repo, n_files, total_bytes, {_kb('total_bytes')} as total_kb, "
         f"{_tokens('total_bytes')} as tokens, {_tokens('total_bytes')} > 5000 as over_budget from "
-        "(select repo, count(*) as n_files, sum(size_bytes)::bigint as total_bytes from decided "
-        "where decision = 'include' group by repo)",
+        "(select repo, count(*) filter (decision = 'include') as n_files, "
+        "coalesce(sum(size_bytes) filter (decision = 'include'), 0)::bigint as total_bytes from decided group by repo)",
     ),
     "dry_run_listing": _with(
         *_decided("v_files"),

@@ -66,18 +66,18 @@ def scan_files(spark, sf_dir):
 
 @query
 def tree_listing_explode(spark, sf_dir):
-    entries = remote.tree_entries(view(spark, sf_dir, "v_listings"))
+    entries = remote.tree_entries(remote.parsed_listings(view(spark, sf_dir, "v_listings")))
     return entries.where("type = 'blob'").select("repo", "path", "size_bytes", "sha", "truncated")
 
 
 @query
 def tree_listing_truncated(spark, sf_dir):
-    return remote.truncated_listings(view(spark, sf_dir, "v_listings"))
+    return remote.truncated_listings(remote.parsed_listings(view(spark, sf_dir, "v_listings")))
 
 
 @query
 def blob_join(spark, sf_dir):
-    entries = remote.tree_entries(view(spark, sf_dir, "v_listings")).where("type = 'blob'")
+    entries = remote.tree_entries(remote.parsed_listings(view(spark, sf_dir, "v_listings"))).where("type = 'blob'")
     joined = remote.blob_join(entries, view(spark, sf_dir, "v_blobs"))
     return joined.select(
         "repo", "path", "sha", F.col("content").isNotNull().alias("found"), F.md5("content").alias("digest")
@@ -369,7 +369,7 @@ def footer_render(spark, sf_dir):
 @query
 def file_section_render(spark, sf_dir):
     run = _run(spark, sf_dir)
-    rows = render.file_rows(run.anchored, run.candidates.select("repo", "path", "content"))
+    rows = render.file_rows(run.anchored, run.texts.select("repo", "path", "content"))
     return render.rendered(rows, CONFIG).select("repo", F.col("sort_key").alias("path"), "fragment")
 
 

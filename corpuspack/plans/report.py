@@ -180,11 +180,17 @@ def dry_run_listing(selected: DataFrame) -> DataFrame:
     return selected.select("repo", "path", "language", kilobytes(F.col("size_bytes")).alias("kb"))
 
 
-def dry_run(selected: DataFrame, config: PackConfig) -> DataFrame:
+def of_all(requested: DataFrame, counted: DataFrame) -> DataFrame:
+    """A row for every requested repository, with zeros where nothing was counted."""
+    return requested.join(counted, "repo", "left").fillna(0)
+
+
+def dry_run(selected: DataFrame, config: PackConfig, requested: DataFrame) -> DataFrame:
     """Totals a run would start from, estimated from raw sizes; contents are not read."""
     totals = selected.groupBy("repo").agg(
         F.count("*").alias("n_files"), F.sum("size_bytes").alias("total_bytes")
     )
+    totals = of_all(requested, totals)
     tokens = tokens_from_count(F.col("total_bytes"))
     return totals.select(
         "repo",

@@ -18,16 +18,19 @@ RAW_FILES = _struct(repo=T.StringType(), path=T.StringType(), raw=T.BinaryType()
 #: Input: remote blobs, looked up by content hash.
 BLOBS = _struct(repo=T.StringType(), sha=T.StringType(), content=T.StringType())
 
-#: JSON body of a remote tree listing; fields outside it are ignored.
+#: Where a listing that is not JSON is kept.
+BAD_LISTING = "_bad"
+
+#: JSON body of a remote tree listing; fields outside it are ignored. Values are taken as text, since hosts write
+#: numbers and flags in more than one way.
 TREE_LISTING = T.StructType(
     [
-        T.StructField("truncated", T.BooleanType()),
+        T.StructField("truncated", T.StringType()),
         T.StructField(
             "tree",
-            T.ArrayType(
-                _struct(path=T.StringType(), type=T.StringType(), size=T.LongType(), sha=T.StringType())
-            ),
+            T.ArrayType(_struct(path=T.StringType(), type=T.StringType(), size=T.StringType(), sha=T.StringType())),
         ),
+        T.StructField(BAD_LISTING, T.StringType()),
     ]
 )
 

@@ -16,7 +16,8 @@ _EDGE_SPACE = r"\A\p{javaWhitespace}+|\p{javaWhitespace}+\z"
 def ignore_patterns(files: DataFrame, ignore_name: str) -> DataFrame:
     """Patterns of each repository's root ignore file, one row per line that is one.
 
-    Blank lines and lines starting with ``#`` are not patterns.
+    Blank lines and lines starting with ``#`` are not patterns. The path is compared as it is, so that the filter
+    reaches the scan: a name at the root has no slash to normalise.
     """
     lines = files.where(F.col("path") == ignore_name).select(
         "repo", F.posexplode(F.split("content", _LINE_BREAK)).alias("line_no", "line")

@@ -1,166 +1,27 @@
-"""Directory trees as tables of files."""
+"""Directory trees as tables of files with their bytes."""
 
 from __future__ import annotations
 
-import os
-import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-from corpuspack.config import PackConfig
-from corpuspack.plans.pack import Pack, pack_files
-
-_SCHEMA = "repo string, path string, raw binary, size_bytes bigint"
-_ARROW = pa.schema(
-    [("repo", pa.string()), ("path", pa.string()), ("raw", pa.binary()), ("size_bytes", pa.int64())]
-)
-_BATCH_BYTES = 32 << 20
-
-
-@dataclass
-class _Subtree:
-    """Files below a directory, or one slice of the files directly in it."""
-
-    repo: str
-    folder: str
-    recursive: bool = True
-    slice_no: int = 0
-    slices: int = 1
-
-
-@dataclass
-class _Share(InputPartition):
-    """What one task scans."""
-
-    trees: list[_Subtree]
-
-
-def _below(folder: str) -> tuple[list[os.DirEntry], list[os.DirEntry]]:
-    """Sub-directories and files; linked directories count as files and are not entered."""
-    try:
-        entries = sorted(os.scandir(folder), key=lambda e: e.name)
-    except (FileNotFoundError, NotADirectoryError, PermissionError):
-        # gone since it was listed, or closed to us; any other error is not silence but failure
-        return [], []
-    dirs = [e for e in entries if e.is_dir(follow_symlinks=False)]
-    files = [e for e in entries if not e.is_dir(follow_symlinks=False)]
-    return dirs, files
-
-
-def _text(name: str) -> str:
-    """A file name as valid text, whatever bytes it is made of."""
-    return os.fsencode(name).decode("utf-8", "replace")
-
 
-class _Reader(DataSourceReader):
-    def __init__(self, root: str, max_file_bytes: int, tasks: int, ignore_name: str = ".packignore") -> None:
-        self.root = root
-        self.ignore_name = ignore_name
-        self.max_file_bytes = max_file_bytes
-        self.tasks = tasks
-
-    def partitions(self) -> list[InputPartition]:
-        """Open directories breadth-first until there are enough sub-trees to share out.
-
-        At most ``tasks`` directories are listed here; all other listing, and all
-        reading, is done by the tasks. Where there are more sub-trees than tasks, they
-        are dealt out in turn.
-        """
-        repos, _ = _below(self.root)
-        waiting = [_Subtree(e.name, "") for e in repos]
-        done: list[_Subtree] = []
-        opened = 0
-        while waiting and opened < self.tasks and len(waiting) + len(done) < self.tasks:
-            tree = waiting.pop(0)
-            opened += 1
-            dirs, files = _below(os.path.join(self.root, tree.repo, tree.folder))
-            slices = 1 + len(files) // 10_000
-            done += [_Subtree(tree.repo, tree.folder, False, i, slices) for i in range(slices) if files]
-            waiting += [_Subtree(tree.repo, os.path.join(tree.folder, d.name)) for d in dirs]
-        trees = done + waiting
-        return [_Share(trees[i :: self.tasks]) for i in range(min(self.tasks, len(trees)))]
-
-    def _entries(self, part: _Subtree) -> Iterator[tuple[str, os.DirEntry]]:
-        pending = [part.folder]
-        while pending:
-            folder = pending.pop()
-            dirs, files = _below(os.path.join(self.root, part.repo, folder))
-            for entry in files:
-                if zlib.crc32(os.fsencode(entry.name)) % part.slices == part.slice_no:
-                    yield os.path.join(folder, entry.name), entry
-            if part.recursive:
-                pending += [os.path.join(folder, d.name) for d in dirs]
-
-    def _row(self, repo: str, path: str, entry: os.DirEntry) -> dict | None:
-        try:
-            size = entry.stat(follow_symlinks=False).st_size
-        except FileNotFoundError:
-            return None
-        raw = None
-        # an ignore file decides about others, so it is read whatever its size
-        if size <= self.max_file_bytes or path == self.ignore_name:
-            try:
-                with open(entry.path, "rb") as handle:
-                    raw = handle.read()
-            except (FileNotFoundError, IsADirectoryError, PermissionError):
-                pass
-        return {"repo": _text(repo), "path": _text(path), "raw": raw, "size_bytes": size}
-
-    def read(self, partition: _Share) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        held = 0
-        for tree in partition.trees:
-            for path, entry in self._entries(tree):
-                row = self._row(tree.repo, path, entry)
-                if row is None:
-                    continue
-                rows.append(row)
-                held += len(row["raw"] or b"") + len(path)
-                if held >= _BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                    rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-
-
-class SourceTrees(DataSource):
-    """Every directory below ``path`` is a repository. Hidden names are kept.
-
-    Options: ``path``, a folder all executors can see; ``max_file_kb``, above which text is
-    not read (``raw`` is null); ``tasks``, how many sub-trees to aim for; ``ignore_name``, the
-    root files that are read at any size.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "source_trees"
-
-    def schema(self) -> str:
-        return _SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        max_kb = int(self.options.get("max_file_kb", "500"))
-        tasks = int(self.options.get("tasks", "200"))
-        return _Reader(self.options["path"], max_kb * 1024, tasks, self.options.get("ignore_name", ".packignore"))
+from corpuspack.sources.frontier import list_trees, read_files
 
 
 def scan_trees(
-    spark: SparkSession, folder: str, max_file_kb: int = 500, tasks: int = 200, ignore_name: str | None = ".packignore"
+    spark: SparkSession, folder: str, max_file_kb: int = 500, ignore_name: str | None = ".packignore"
 ) -> DataFrame:
-    """All repositories below ``folder``, hidden files included, as raw files."""
-    spark.dataSource.register(SourceTrees)
-    reader = spark.read.format("source_trees").option("max_file_kb", max_file_kb).option("tasks", tasks)
-    return reader.option("ignore_name", ignore_name or "").load(folder)
-
+    """Every file ``(repo, path, size_bytes, raw)`` below ``folder``, hidden ones included, nothing pruned.
 
-def pack_trees(spark: SparkSession, folder: str, config: PackConfig, tasks: int = 200) -> Pack:
-    """Pack every repository below ``folder``. What is read follows the run's own limits."""
-    return pack_files(scan_trees(spark, folder, config.max_file_kb, tasks, config.ignore_name), config)
+    ``raw`` is null above ``max_file_kb``; a root file called ``ignore_name`` decides about others, so it is read at
+    any size. ``pack_trees`` leaves out what its configuration excludes before listing it.
+    """
+    listing = list_trees(spark, folder)
+    wanted = F.col("size_bytes") <= max_file_kb * 1024
+    if ignore_name is not None:
+        wanted = wanted | (F.col("path") == ignore_name)
+    rest = listing.files.where(~wanted).drop("location").withColumn("raw", F.lit(None).cast("binary"))
+    return read_files(listing.files.where(wanted), listing.root).unionByName(rest)
 
 
 def scan_visible(spark: SparkSession, folder: str, repo_depth: int = 1) -> DataFrame:
