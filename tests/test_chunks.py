@@ -36,26 +36,80 @@ def random_costs(rng, n, budget):
     return [rng.choices(kinds, weights)[0]() for _ in range(n)]
 
 
-@pytest.mark.parametrize("budget", [600, 1000, 1018, 1200, 3000, 150_000])
+BUDGETS = [600, 1000, 1018, 1200, 3000, 150_000]
+
+
+def random_blocks(rng, budget, longest=12):
+    """Files of several repositories, cut into blocks anywhere; and the state of the fold after each."""
+    repos = sorted(f"r{k}" for k in range(rng.choice([1, 1, 2, 5])))
+    files = [(r, c) for r in repos for c in random_costs(rng, rng.randint(1, 60 // len(repos)), budget)]
+    expected = [n for r in repos for n in fold([c for q, c in files if q == r], budget)]
+    blocks, at = [], 0
+    while at < len(files):
+        part = files[at : at + rng.randint(1, longest)]
+        first, last = part[0][0], part[-1][0]
+        steps = chunks.steps_of(last, np.array([c for r, c in part if r == last]), budget)
+        if first != last:
+            none = np.empty(0, np.int64)
+            steps = chunks.Steps(first, last, True, steps.begun, steps.running, upto=none, counts=none, exits=none)
+        at += len(part)
+        blocks.append((steps, (last, expected[at - 1])))
+    return blocks
+
+
+@pytest.mark.parametrize("budget", BUDGETS)
 def test_step_functions_compose_to_the_fold(budget):
-    """Blocks cut anywhere give the same state as one pass, whatever came before."""
+    """Blocks cut anywhere give the same state as one pass, whatever came before, in whatever order they are composed."""
     rng = random.Random(budget)
     for _ in range(150):
-        costs = random_costs(rng, rng.randint(1, 60), budget)
-        expected = fold(costs, budget)
-        begun, running = 0, CHUNK_OVERHEAD
-        at = 0
-        while at < len(costs):
-            block = np.array(costs[at : at + rng.randint(1, 12)])
-            starts, exits = chunks.block_steps(block, budget)
-            reach = chunks.reachable_starts(block, budget)
-            start = chunks.first_start(block[:reach], running, budget)
-            if start < reach:
-                begun, running = begun + starts[start], exits[start]
-            else:
-                running += block.sum()
-            at += len(block)
-            assert begun == expected[at - 1], (costs, budget)
+        blocks = random_blocks(rng, budget)
+        state = (None, 0, CHUNK_OVERHEAD)
+        for steps, (repo, begun) in blocks:
+            state = steps.leave(*state)
+            assert state[:2] == (repo, begun)
+        whole = [steps for steps, _ in blocks]
+        while len(whole) > 1:
+            k = rng.randrange(len(whole) - 1)
+            whole[k : k + 2] = [chunks.composed(whole[k], whole[k + 1])]
+        assert whole[0].leave(None, 0, CHUNK_OVERHEAD) == state
+
+
+@pytest.mark.parametrize("budget", BUDGETS)
+def test_compositions_equal_their_parts_in_every_state(budget):
+    rng = random.Random(budget + 1)
+    for _ in range(100):
+        one, other = (chunks.steps_of("r", np.array(random_costs(rng, rng.randint(1, 9), budget)), budget) for _ in range(2))
+        both = chunks.composed(one, other)
+        states = {CHUNK_OVERHEAD, budget + CHUNK_OVERHEAD, *(rng.randint(CHUNK_OVERHEAD, budget + CHUNK_OVERHEAD) for _ in range(40))}
+        states |= {int(u) + d for u in [*both.upto[:-1], both.absorbs] for d in (0, 1) if u >= CHUNK_OVERHEAD}
+        for running in states:
+            assert both.leave("r", 3, running) == other.leave(*one.leave("r", 3, running)), (running, budget)
+        assert len(both.upto) <= len(one.upto) + len(other.upto) and (np.diff(both.upto) > 0).all()
+
+
+@pytest.mark.parametrize("budget", [1300, 30_000])
+def test_runs_fold_alike_at_any_length(monkeypatch, budget):
+    rng = random.Random(budget)
+    for _ in range(60):
+        costs = np.array(random_costs(rng, rng.randint(1, 120), budget))
+        state = (2, rng.choice([CHUNK_OVERHEAD, CHUNK_OVERHEAD + 200, budget]))
+        found = []
+        for short in (0, 1000):
+            monkeypatch.setattr(chunks, "SHORT_RUN", short)
+            numbers, begun, running = chunks._fold(costs, *state, budget)
+            found.append((numbers.tolist(), begun, running))
+        assert found[0] == found[1]
+
+
+def test_functions_stay_small_at_a_large_budget():
+    """Sixteen blocks of 40,000 files under a budget of 20 million tokens."""
+    rng, budget = np.random.default_rng(0), 20_000_000
+    parts = [chunks.steps_of("r", rng.integers(50, 4000, 40_000), budget) for _ in range(16)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = chunks.composed(whole, part)
+        assert len(whole.upto) <= 10_100  # files of a chunk, about
+    assert len(whole.upto) < 2_000 and max(len(p.upto) for p in parts) <= 10_100
 
 
 def assigned(spark, repos, budget):
@@ -96,6 +150,21 @@ def test_a_chunk_open_across_whole_blocks(spark, many_blocks):
     assert assigned(spark, repos, 150_000) == {"small": [1] * 400, "tail": [1, 2, 3]}
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_a_tree_of_many_levels(spark, many_blocks, monkeypatch, fan):
+    monkeypatch.setattr(chunks, "FAN", fan)
+    rng = random.Random(fan)
+    repos = {"huge": random_costs(rng, 700, 1500), "next": random_costs(rng, 300, 1500), "z": [1501]}
+    assert assigned(spark, repos, 1500) == {r: fold(c, 1500) for r, c in repos.items()}
+
+
+def test_no_task_takes_all_functions(spark):
+    steps = chunks.steps_of("r", np.array([20, 30]), 2000)
+    rows = [row for k in range(40) for row in chunks._rows([(k, steps)])]
+    plan = chunks.entry_states(spark.createDataFrame(rows, chunks._STEPS))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Coalesce" not in plan and "Window" not in plan
+
+
 def test_many_small_repositories(spark, many_blocks):
     rng = random.Random(3)
     repos = {f"r{i}": random_costs(rng, rng.randint(1, 9), 2000) for i in range(120)}
