@@ -25,7 +25,7 @@ from corpuspack.operators.select import (
 from corpuspack.operators.tree import tree_families
 from corpuspack.plans import render, report
 from corpuspack.plans.layout import Layout, lay_out
-from corpuspack.plans.sink import write_documents
+from corpuspack.plans.sink import section_rows, write_manifest, write_narrow, write_sections
 from corpuspack.session import materialised
 from corpuspack.sources.frontier import Listing, as_text, list_trees, read_files
 from corpuspack.sources.ignore import ignore_regexes
@@ -159,8 +159,11 @@ class Pack:
         return render.bounded_documents(self.fragments())
 
     def write(self, folder: str) -> None:
-        """Write the documents as text below ``folder``."""
-        write_documents(self._fragment_rows(), folder, self.config)
+        """Write the documents as text below ``folder``, with a manifest of their parts."""
+        spark = self.meta.sparkSession
+        write_narrow(render.narrow_fragments(self.layout, self.anchored, self.families, self.config), folder)
+        write_sections(section_rows(self.anchored, self.texts), folder, self.config)
+        write_manifest(spark, folder)
 
     @cached_property
     def _outputs(self) -> DataFrame:

@@ -169,6 +169,18 @@ def file_rows(anchored: DataFrame, contents: DataFrame) -> DataFrame:
     )
 
 
+def narrow_fragments(
+    layout: Layout, anchored: DataFrame, families: DataFrame | None, config: PackConfig
+) -> DataFrame:
+    """All fragments but the file sections. Switched-off sections are left out of the union."""
+    parts = fixed_fragments(layout.documents, config)
+    if config.toc:
+        parts = parts.unionByName(toc_fragments(anchored))
+    if config.tree:
+        parts = parts.unionByName(tree_fragments(layout.files, families))
+    return parts
+
+
 def fragment_rows(
     layout: Layout,
     anchored: DataFrame,
@@ -176,20 +188,13 @@ def fragment_rows(
     contents: DataFrame,
     config: PackConfig,
 ) -> DataFrame:
-    """All fragments of all documents, file sections unrendered.
-
-    Switched-off sections are left out of the union.
-    """
-    parts = fixed_fragments(layout.documents, config)
-    if config.toc:
-        parts = parts.unionByName(toc_fragments(anchored))
-    if config.tree:
-        parts = parts.unionByName(tree_fragments(layout.files, families))
+    """All fragments of all documents, file sections unrendered."""
+    parts = narrow_fragments(layout, anchored, families, config)
     return parts.unionByName(file_rows(anchored, contents), allowMissingColumns=True)
 
 
-def rendered(rows: DataFrame, config: PackConfig) -> DataFrame:
-    """Fragment rows with every file section rendered.
+def rendered(rows: DataFrame, config: PackConfig, *kept: str) -> DataFrame:
+    """Fragment rows with every file section rendered; columns ``kept`` stay.
 
     A projection, so it can run wherever it is cheapest: a sink orders the rows first
     and renders them after the shuffle.
@@ -201,7 +206,7 @@ def rendered(rows: DataFrame, config: PackConfig) -> DataFrame:
     return (
         rows.withColumn("stripped", content)
         .withColumn("fragment", F.coalesce("fragment", text))
-        .select(_COLUMNS)
+        .select(*_COLUMNS, *kept)
     )
 
 

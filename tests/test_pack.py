@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuspack import PackConfig, pack_files, pack_listing
 from corpuspack.operators.tree import tree_bytes, tree_families, tree_lines
-from corpuspack.plans import render
+from corpuspack.plans import render, sink
 from corpuspack.schema import FRAGMENT_ORDER
 
 STAMP = "2026-02-03 04:05:06 UTC"
@@ -183,46 +183,88 @@ def test_drawn_tree(spark):
     assert tree_bytes(families).first()["bytes"] == len("".join(lines).encode())
 
 
-def test_written_documents(spark, files, tmp_path):
+def read_back(spark, folder):
+    """Documents from the manifest's files, and with the helper."""
+    rows = sink.read_manifest(spark, str(folder)).orderBy("repo", "output", "ordinal").collect()
+    joined = {}
+    for r in rows:
+        data = (folder / r.file).read_bytes()
+        assert len(data) == r.bytes
+        joined[r.repo, r.output] = joined.get((r.repo, r.output), b"") + data
+    names = {}
+    for part in sorted(folder.glob("repo=*/output=*/part=*/*.txt")):
+        names.setdefault(part.parts[-4:-2], []).append(part.parts[-2])
+    assert all(len(set(parts)) == len(parts) for parts in names.values())  # one file a part
+    key = next(iter(joined))
+    assert b"".join(sink.stream_document(spark, str(folder), *key)) == joined[key]
+    return {k: v.decode() for k, v in joined.items()}, rows
+
+
+@pytest.mark.parametrize("mode", ["single", "split", "chunk"])
+@pytest.mark.parametrize("block", [64 << 20, 700])
+def test_written_documents(spark, files, tmp_path, monkeypatch, mode, block):
+    """Byte by byte, in one block and in many."""
+    monkeypatch.setattr(sink, "BLOCK_BYTES", block)
     rng = random.Random(8)
-    tree = {f"team/repo{i}": random_repo(rng, 30) for i in range(3)}
-    run = pack_files(files(tree), PackConfig(include=["**/*"], generated_at=STAMP))
+    tree = {f"team/repo{i} [x]": random_repo(rng, 30) for i in range(3)}
+    run = pack_files(files(tree), PackConfig(include=["**/*"], generated_at=STAMP, mode=mode, chunk_tokens=1500))
     documents = assembled(run.fragments())
     run.write(str(tmp_path / "out"))
-    written = {}
-    for part in sorted((tmp_path / "out").glob("repo=*/output=*/part-*"), key=lambda p: p.name):
-        key = part.parts[-3][5:].replace("%2F", "/"), part.parts[-2][7:]
-        written[key] = written.get(key, "") + part.read_bytes().decode()
+    written, rows = read_back(spark, tmp_path / "out")
     assert written == documents
-    sizes = {(r.repo, r.output): r.size_bytes for r in run.outputs().collect()}
-    assert sizes == {k: len(t.encode()) for k, t in written.items()}
+    assert {(r.repo, r.output): r.size_bytes for r in run.outputs().collect()} == {k: len(t.encode()) for k, t in written.items()}
+    assert (len({r.part for r in rows if r.part[0] == "1"}) > 5) == (block == 700)
 
 
-def test_a_huge_document_is_written_in_several_parts(spark, tmp_path):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+def test_written_remote_documents(spark, remote, tmp_path):
+    remote.write(str(tmp_path / "out"))
+    assert read_back(spark, tmp_path / "out")[0] == assembled(remote.fragments())
+
+
+def test_ignored_files_are_not_written(spark, files, tmp_path):
+    run = pack_files(files({"a.md": "a", "b.md": "b", ".packignore": "b.md"}), PackConfig(include=["*.md"], generated_at=STAMP))
+    run.write(str(tmp_path / "out"))
+    assert read_back(spark, tmp_path / "out")[0] == assembled(run.fragments())
+
+
+def test_nothing_to_write(spark, files, tmp_path):
+    run = pack_files(files({"a.md": "a"}), PackConfig(include=["*.java"], generated_at=STAMP))
+    run.write(str(tmp_path / "out"))
+    assert sink.read_manifest(spark, str(tmp_path / "out")).count() == 0
+
+
+@pytest.mark.parametrize("first", [0, 99_990])
+def test_a_huge_document_is_written_in_several_parts(spark, tmp_path, monkeypatch, first):
+    """Parts stay in order past any number of digits."""
+    monkeypatch.setattr(sink, "FIRST_BLOCK", first)
+    monkeypatch.setattr(sink, "BLOCK_BYTES", 4000)
+    df = spark.range(1500).select(
+        F.lit("r").alias("repo"),
+        F.format_string("d%d/f%05d.md", F.col("id") % 7, "id").alias("path"),
+        F.lit("text\n").alias("content"),
+        F.lit(5).cast("bigint").alias("size_bytes"),
+    )
+    run = pack_files(df, PackConfig(include=["**/*"], generated_at=STAMP))
+    expected = assembled(run.fragments())["r", "r-context.md"]
+    run.write(str(tmp_path / "out"))
+    written, rows = read_back(spark, tmp_path / "out")
+    assert written == {("r", "r-context.md"): expected}
+    numbers = [int(r.part[2:]) for r in rows if r.part[0] == "1"]
+    assert numbers == sorted(numbers) and numbers[0] == first and len(numbers) > 20
+
+
+def test_texts_move_once(spark, files, monkeypatch):
+    """One exchange has the text in it, also where no side is small enough to broadcast."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = spark.range(4000).select(
-            F.lit("r").alias("repo"),
-            F.format_string("d%d/f%05d.md", F.col("id") % 7, "id").alias("path"),
-            F.lit("text\n").alias("content"),
-            F.lit(5).cast("bigint").alias("size_bytes"),
-        )
-        run = pack_files(df, PackConfig(include=["**/*"], generated_at=STAMP))
-        expected = assembled(run.fragments())["r", "r-context.md"]
-        run.write(str(tmp_path / "out"))
+        run = pack_files(files({"a.md": "x", "b/c.md": "y"}), PackConfig(include=["**/*"], ignore_name=None))
+        rows = sink.section_rows(run.anchored, run.texts)
+        plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    parts = sorted((tmp_path / "out").glob("repo=*/output=*/part-*"), key=lambda p: p.name)
-    assert len(parts) > 1
-    assert "".join(p.read_bytes().decode() for p in parts) == expected
-
-
-def test_writing_needs_no_second_sort(files):
-    """The writer re-sorts on nullable folder keys, which would lose the order within a document."""
-    run = pack_files(files({"a.md": "x"}), PackConfig(include=["*"]))
-    keys = {c: F.coalesce(c, F.lit("")) for c in ("repo", "output")}
-    ordered = run.fragments().withColumns(keys)
-    assert not any(f.nullable for f in ordered.schema.fields if f.name in keys)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moved = re.findall(r"\) (\w*Exchange)\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert sum("content#" in columns for _, columns in moved) == 1 and len(moved) > 1
 
 
 # Reports
