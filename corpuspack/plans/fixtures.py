@@ -9,6 +9,7 @@ directories, colliding document names (``a.b/`` and ``a/b/``), colliding anchors
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,9 @@ CONFIG = PackConfig(
     generated_at="2026-01-01 00:00:00 UTC",
 )
 
+#: Nothing in the whole views is left out: every text is packed, whatever its extension and size.
+WHOLE = replace(CONFIG, include=("**/*",), exclude=("**/none/**",), max_file_kb=500)
+
 _DIRS = (
     "'src/main/','src/test/','docs/','build/','','src/main/util/','.github/workflows/',"
     "'node_modules/pkg/','a.b/','a/b/'"
@@ -74,12 +78,17 @@ def _views(d: dict) -> dict[str, str]:
         "concat('  ', owner, '/', name, ' '), url, concat('https://github.com/', owner, '/', name, '/tree/main')",
         "page_id % 14 + 1",
     )
+    whole = "replace(replace(path, 'build/', 'built/'), 'node_modules/', 'modules/')"
     branch = pick("null, 'main', 'feature/x'", f"page_id {div} 14 % 3 + 1")
     return {
         "v_docs": f"select doc_id, source, {number} as n, {path} as path, {content} as content from documents",
         "v_files": (
             f"select source as repo, path, content, cast({size}(content) as bigint) as size_bytes from v_docs"
         ),
+        # The same without directories that are excluded by default.
+        "v_whole": (
+            f"select repo, {whole} as path, content, size_bytes from v_files"
+        ),
         # Three quarters of all rows in one repository.
         "v_mono": (
             "select case when doc_id % 4 = 0 then source else 'mono' end as repo, "
@@ -92,6 +101,12 @@ def _views(d: dict) -> dict[str, str]:
             f"union all select repo, '.packignore', content, cast({size}(content) as bigint) from "
             f"(select distinct {team} as repo, {rules} as content from documents)"
         ),
+        "v_teams_whole": f"select repo, {whole} as path, content, size_bytes from v_teams",
+        # Repositories that were asked for, some of them without a file.
+        "v_asked": (
+            "select distinct repo from v_teams union all "
+            "select distinct concat('absent-', cast(n % 3 as varchar(20))) from v_docs"
+        ),
         "v_names": (
             f"select doc_id, {pick(_NAMES, 'doc_id % 10 + 1')} as name from documents "
             "union all select doc_id, path from v_docs"
@@ -107,6 +122,10 @@ def _views(d: dict) -> dict[str, str]:
             "as label, n, path, content, md5(content) as sha, "
             f"cast({size}(content) as bigint) as size_bytes from v_docs"
         ),
+        "v_blob_files_whole": (
+            f"select doc_id, repo, label, n, {whole} as path, content, sha, size_bytes from v_blob_files"
+        ),
+        "v_all_blobs": "select distinct repo, sha, content from v_blob_files",
         "v_blobs": "select distinct repo, sha, content from v_blob_files where substr(sha, 1, 1) <> '0'",
     }
 
@@ -137,7 +156,8 @@ from v_docs
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view over the parquet tables in ``sf_dir``."""
-    wanted, steps = {"v_listings": _LISTINGS, "v_raw": _RAW}.get(name, f"select * from {name}"), []
+    listings = {"v_listings": _LISTINGS, "v_listings_whole": _LISTINGS.replace("v_blob_files", "v_blob_files_whole")}
+    wanted, steps = {**listings, "v_raw": _RAW}.get(name, f"select * from {name}"), []
     for other, sql in reversed(SPARK_VIEWS.items()):
         if any(re.search(rf"\b{other}\b", text) for text in [wanted, *(s for _, s in steps)]):
             steps.insert(0, (other, sql))

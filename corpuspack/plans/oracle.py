@@ -218,13 +218,13 @@ def _tree(source: str) -> list[tuple[str, str]]:
 
 
 def _header(stripping: str, excludes: bool = True, repo_path: str = "repo") -> str:
-    excluded = "> | Exclude patterns | `**/test/**` |\\n" if excludes else ""
+    excluded = "> | Exclude patterns | `**/none/**` |\\n" if excludes else ""
     return (
         "E'# Repository Context: `' || string_split(repo, '/')[-1] || case when coalesce(context, '') <> '' "
         "then '` — `' || context else '' end || E'`\\n\\n> **Generated by corpuspack** · "
         "2026-01-01 00:00:00 UTC\\n>\\n> | Property | Value |\\n> |---|---|\\n> | Repo path | `' || "
         f"{repo_path} || E'` |\\n' || coalesce('> | Directory | `' || context || E'` |\\n', '') || "
-        "E'> | Include patterns | `**/*.java`, `*.{js,c}`, `*.KT`, `**/*.md` |\\n"
+        "E'> | Include patterns | `**/*` |\\n"
         f"{excluded}> | Files included | ' || n_files || E' |\\n> | Comment stripping | {stripping} |\\n\\n---\\n\\n'"
     )
 
@@ -276,9 +276,9 @@ OUTPUTS = (
 )
 
 _SELECTED = ("chosen", "select * from decided where decision = 'include'")
-_SINGLE = [*_decided("v_files"), _SELECTED, *_meta("chosen"), *SINGLE_PLACED]
-_SPLIT = [*_decided("v_files"), _SELECTED, *_meta("chosen"), *SPLIT_PLACED]
-_CHUNK = [*_decided("v_files"), _SELECTED, *_meta("chosen"), *_chunks(3000), *CHUNK_PLACED]
+_SINGLE = [*_meta("v_whole"), *SINGLE_PLACED]
+_SPLIT = [*_meta("v_whole"), *SPLIT_PLACED]
+_CHUNK = [*_meta("v_whole"), *_chunks(3000), *CHUNK_PLACED]
 _ALL = "true"
 
 
@@ -311,9 +311,7 @@ _REMOTE_FILES = [
 ]
 _REMOTE_DECIDED = [*_REMOTE_FILES, *_decided("remote_files", prune=False, readable="content is not null")]
 _REMOTE = [
-    *_REMOTE_DECIDED,
-    _SELECTED,
-    *_meta("chosen", strip=False, extra=", label"),
+    *_meta("v_blob_files_whole", strip=False, extra=", label"),
     *SINGLE_PLACED,
     *_anchored(),
     *_documents("remote"),
@@ -323,7 +321,7 @@ _REMOTE = [
 
 
 def _everything(source: str, placed: list[tuple[str, str]], mode: str) -> list[tuple[str, str]]:
-    header = _header("disabled", excludes=False).replace("`**/*.java`, `*.{js,c}`, `*.KT`, `**/*.md`", "`**/*`")
+    header = _header("disabled", excludes=False)
     return [
         *_decided(source, _ALL, _default_exclude, 500),
         _SELECTED,
@@ -353,23 +351,19 @@ def _split_warnings(limit: int) -> tuple[str, str]:
     )
 
 
-_STATUS_HEADER = _header("enabled").replace("`**/*.java`, `*.{js,c}`, `*.KT`, `**/*.md`", "`**/*.java`")
 _STATUS = [
-    *_decided("v_teams", _matches("path", r"(.+/)?[^/]*\.java")),
-    _SELECTED,
-    *_meta("chosen"),
+    *_meta("v_teams_whole"),
     *SPLIT_PLACED,
     *_anchored(),
     *_documents("split"),
-    *_fragments(_STATUS_HEADER),
+    *_fragments(_header("enabled")),
     OUTPUTS,
     _SPLIT_TOTALS,
     _split_warnings(1500),
     (
         "counted",
-        "select repo, count(*) filter (decision = 'include') as included, "
-        "count(*) filter (decision not in ('include', 'skip_dir')) + count(distinct pruned_dir) as excluded "
-        "from decided group by repo",
+        "select repo, count(path) as included, 0::bigint as excluded "
+        "from v_asked left join v_teams_whole using (repo) group by repo",
     ),
     (
         "summed",
@@ -510,16 +504,13 @@ ORACLE: dict[str, str] = {
         "count(*) filter (decision <> 'include') as excluded_flat from decided group by repo",
     ),
     "dry_run": _with(
-        *_decided("v_files"),
         final=f"select repo, n_files, total_bytes, {_kb('total_bytes')} as total_kb, "
         f"{_tokens('total_bytes')} as tokens, {_tokens('total_bytes')} > 5000 as over_budget from "
-        "(select repo, count(*) filter (decision = 'include') as n_files, "
-        "coalesce(sum(size_bytes) filter (decision = 'include'), 0)::bigint as total_bytes from decided group by repo)",
+        "(select repo, count(path) as n_files, coalesce(sum(size_bytes), 0)::bigint as total_bytes "
+        "from v_asked left join v_teams_whole using (repo) group by repo)",
     ),
     "dry_run_listing": _with(
-        *_decided("v_files"),
-        final=f"select repo, path, {LANGUAGE} as language, {_kb('size_bytes')} as kb from decided "
-        "where decision = 'include'",
+        final=f"select repo, path, {LANGUAGE} as language, {_kb('size_bytes')} as kb from v_whole",
     ),
     "split_groups": _with(
         final=f"select repo, dir_key, {_leaf('dir_key', 'repo')} as label, "
@@ -544,9 +535,7 @@ ORACLE: dict[str, str] = {
         *_meta("v_mono", strip=False), *_chunks(4000), final="select repo, path, tokens, chunk from folded"
     ),
     "chunk_oversize": _with(
-        *_decided("v_files"),
-        _SELECTED,
-        *_meta("chosen"),
+        *_meta("v_whole"),
         final=f"select repo, path, tokens, path || ' (~' || {_digits('tokens')} || "
         "' tokens) exceeds chunk budget (1,000). Placing in its own chunk.' as note from meta where tokens > 1000",
     ),
@@ -646,12 +635,7 @@ ORACLE: dict[str, str] = {
         f"{_digits('tokens')} || ') exceeds --max-tokens limit (5,000).' as warning from outs where tokens > 5000",
     ),
     "listing_notes": _with(
-        *_REMOTE_FILES,
-        *_decided("remote_files", _ALL, prune=False),
-        (
-            "matched",
-            "select repo, count(*) filter (decision = 'include') as matched from decided group by repo",
-        ),
+        ("matched", "select repo, count(*) as matched from v_blob_files_whole group by repo"),
         final="select repo, 0::bigint as ord, 'Truncated tree listing: some files may be missing. Consider narrowing "
         "your include patterns.' as note from v_blob_files where n % 5 = 0 group by repo union all "
         "select repo, 1, 'Fetching ' || matched || ' files. Unauthenticated access allows 60 requests/hour (1 used "

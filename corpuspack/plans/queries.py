@@ -17,7 +17,7 @@ from corpuspack.operators.tree import tree_families
 from corpuspack.operators.tree import tree_lines as drawn_tree
 from corpuspack.operators.tree import tree_nodes as nodes_of
 from corpuspack.plans import render, report
-from corpuspack.plans.fixtures import CONFIG, view
+from corpuspack.plans.fixtures import CONFIG, WHOLE, view
 from corpuspack.plans.layout import split_groups as groups_of
 from corpuspack.plans.pack import Pack, as_text_files, file_meta, pack_files, pack_listing, with_language
 from corpuspack.schema import FRAGMENT_ORDER
@@ -27,9 +27,10 @@ from corpuspack.sources import ignore, references, remote
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-SPLIT = replace(CONFIG, mode="split")
-CHUNK = replace(CONFIG, mode="chunk")
+SPLIT = replace(WHOLE, mode="split")
+CHUNK = replace(WHOLE, mode="chunk")
 REMOTE = replace(CONFIG, mode="remote", strip_comments=False)
+REMOTE_WHOLE = replace(WHOLE, mode="remote", strip_comments=False)
 EVERYTHING = replace(CONFIG, include=("**/*",), exclude=(), max_file_kb=500, strip_comments=False)
 IGNORING = replace(EVERYTHING, ignore_name=".packignore")
 
@@ -39,12 +40,16 @@ def query(function: Query) -> Query:
     return function
 
 
-def _run(spark: SparkSession, sf_dir: str, config=CONFIG, source: str = "v_files") -> Pack:
-    if config.mode == "remote":
-        return pack_listing(view(spark, sf_dir, "v_listings"), view(spark, sf_dir, "v_blobs"), config)
+def _run(spark: SparkSession, sf_dir: str, config=WHOLE, source: str = "v_whole") -> Pack:
     return pack_files(view(spark, sf_dir, source), config)
 
 
+def _remote_run(spark: SparkSession, sf_dir: str) -> Pack:
+    """All entries of all listings, with all blobs."""
+    listings, blobs = view(spark, sf_dir, "v_listings_whole"), view(spark, sf_dir, "v_all_blobs")
+    return pack_listing(listings, blobs, REMOTE_WHOLE)
+
+
 def _documents_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of all files, whatever the selection would say."""
     return file_meta(with_language(view(spark, sf_dir, "v_files")))
@@ -250,13 +255,18 @@ def excluded_walk(spark, sf_dir):
 
 @query
 def excluded_flat(spark, sf_dir):
-    decisions = _run(spark, sf_dir, REMOTE).decisions
-    return select.decision_counts(decisions).select("repo", "included", "excluded_flat")
+    run = pack_listing(view(spark, sf_dir, "v_listings"), view(spark, sf_dir, "v_blobs"), REMOTE)
+    return select.decision_counts(run.decisions).select("repo", "included", "excluded_flat")
+
+
+def _asked_run(spark, sf_dir, config):
+    """Per-team repositories, and some that were asked for and have no file."""
+    return pack_files(view(spark, sf_dir, "v_teams_whole"), config, view(spark, sf_dir, "v_asked"))
 
 
 @query
 def dry_run(spark, sf_dir):
-    return _run(spark, sf_dir).dry_run()
+    return _asked_run(spark, sf_dir, WHOLE).dry_run()
 
 
 @query
@@ -328,8 +338,8 @@ def tree_lines(spark, sf_dir):
     return drawn_tree(files, families).select("repo", "node_path", "sort_key", "line")
 
 
-def _fragments(spark, sf_dir, config=CONFIG, source="v_files"):
-    return _run(spark, sf_dir, config, source).fragments()
+def _fragments(spark, sf_dir, config=WHOLE):
+    return _run(spark, sf_dir, config).fragments()
 
 
 def _widened(fragments):
@@ -363,14 +373,14 @@ def header_render(spark, sf_dir):
 @query
 def footer_render(spark, sf_dir):
     run = _run(spark, sf_dir)
-    return run.layout.documents.select("repo", "output", render.footer_text(CONFIG).alias("footer"))
+    return run.layout.documents.select("repo", "output", render.footer_text(WHOLE).alias("footer"))
 
 
 @query
 def file_section_render(spark, sf_dir):
     run = _run(spark, sf_dir)
     rows = render.file_rows(run.anchored, run.texts.select("repo", "path", "content"))
-    return render.rendered(rows, CONFIG).select("repo", F.col("sort_key").alias("path"), "fragment")
+    return render.rendered(rows, WHOLE).select("repo", F.col("sort_key").alias("path"), "fragment")
 
 
 @query
@@ -381,7 +391,7 @@ def document_fragments(spark, sf_dir):
 @query
 def document_fragments_plain(spark, sf_dir):
     """Without table of contents and tree."""
-    return _widened(_fragments(spark, sf_dir, replace(CONFIG, toc=False, tree=False)))
+    return _widened(_fragments(spark, sf_dir, replace(WHOLE, toc=False, tree=False)))
 
 
 @query
@@ -410,7 +420,7 @@ def chunk_outputs(spark, sf_dir):
 
 @query
 def remote_outputs(spark, sf_dir):
-    return _run(spark, sf_dir, REMOTE).outputs()
+    return _remote_run(spark, sf_dir).outputs()
 
 
 def _with_wide_order(rows):
@@ -425,23 +435,21 @@ def warnings_single(spark, sf_dir):
 @query
 def warnings_split(spark, sf_dir):
     config = replace(EVERYTHING, mode="split", max_tokens=1_500)
-    return _with_wide_order(_run(spark, sf_dir, config).warnings())
+    return _with_wide_order(_run(spark, sf_dir, config, "v_files").warnings())
 
 
 @query
 def warnings_remote(spark, sf_dir):
-    return _with_wide_order(_run(spark, sf_dir, REMOTE).warnings())
+    return _with_wide_order(_remote_run(spark, sf_dir).warnings())
 
 
 @query
 def listing_notes(spark, sf_dir):
-    return _with_wide_order(_run(spark, sf_dir, replace(REMOTE, include=("**/*",))).notes())
+    return _with_wide_order(_remote_run(spark, sf_dir).notes())
 
 
 def _status_run(spark, sf_dir):
-    """Per-team repositories: some match nothing, some exceed the budget."""
-    config = replace(CONFIG, include=("**/*.java",), mode="split", max_tokens=1_500)
-    return _run(spark, sf_dir, config, "v_teams").summary()
+    return _asked_run(spark, sf_dir, replace(SPLIT, max_tokens=1_500)).summary()
 
 
 @query
