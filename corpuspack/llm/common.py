@@ -23,6 +23,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or a longer one that no column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples of Python values, a bounded slice at a time."""
     for batch in batches:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuspack.llm.common import BLANKS, text_or_empty
+from corpuspack.llm.common import BLANKS, text_or_empty, unused
 from corpuspack.llm.shingles import mixed
 from corpuspack.session import materialised
 
@@ -242,10 +242,11 @@ def by_text(docs: DataFrame, clashing: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group, all columns as they were."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest"))
-    digest = F.sha2(F.translate(text_or_empty(), BLANKS, ""), 256)
-    marked = docs.withColumn("_digest", digest)
-    joined = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked["_digest"] == kept["_kept_digest"]))
+    digest, keeper, nth = (unused(docs.columns, name) for name in ("copy_digest", "copy_keeper", "copy_nth"))
+    kept = exact_duplicates(docs).where("kept").select(F.struct("doc_id", "text_sha256").alias(keeper))
+    marked = docs.withColumn(digest, F.sha2(F.translate(text_or_empty(), BLANKS, ""), 256))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{keeper}.doc_id")) & (F.col(digest) == F.col(f"{keeper}.text_sha256"))
+    joined = marked.join(kept, same)
     # Rows that repeat both doc_id and text meet the same kept row; the longest original stays.
-    again = Window.partitionBy("_kept_id", "_kept_digest").orderBy(F.length(text_or_empty()).desc())
-    return joined.withColumn("_nth", F.row_number().over(again)).where("_nth = 1").select(*docs.columns)
+    again = Window.partitionBy(keeper).orderBy(F.length(text_or_empty()).desc())
+    return joined.withColumn(nth, F.row_number().over(again)).where(F.col(nth) == 1).select(*docs.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuspack.llm.common import WORD, text_or_empty
+from corpuspack.llm.common import WORD, text_or_empty, unused
 from corpuspack.llm.prefix import running
 from corpuspack.session import materialised
 
@@ -25,10 +25,10 @@ WEIGHTS = (3, 1, 2)
 SHARE_NUMERATOR, SHARE_DENOMINATOR, EPOCHS = 3, 2, 2
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each document."""
+def sized(docs: DataFrame, *kept: str) -> DataFrame:
+    """(doc_id, source, size): words of each document, and columns ``kept``."""
     words = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint")
-    return docs.select("doc_id", "source", words.alias("size"))
+    return docs.select("doc_id", "source", words.alias("size"), *kept)
 
 
 def targets(documents: DataFrame) -> DataFrame:
@@ -63,10 +63,10 @@ def targets(documents: DataFrame) -> DataFrame:
     return shared.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) for every document."""
+def mix(docs: DataFrame, *kept: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source) for every document, and columns ``kept``."""
     documents = materialised(
-        sized(docs).withColumn("place", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))),
+        sized(docs, *kept).withColumn("place", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))),
         "mix-sizes",
     )
     shares = targets(documents)
@@ -80,7 +80,7 @@ def mix(docs: DataFrame) -> DataFrame:
         return F.greatest(F.lit(0), F.least(F.col("size"), budget - start))
 
     taken = sum((share(e) for e in range(1, EPOCHS)), share(0))
-    return met.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"), "source")
+    return met.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"), "source", *kept)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -88,19 +88,19 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Where a budget ends inside a document, that row's text ends with the last word taken and n_chars follows it.
     """
-    taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    # Rows are numbered and written, as neither ids nor texts need tell them apart.
+    row, cut = unused(docs.columns, "mixed_row"), unused(docs.columns, "mixed_cut")
+    rows = materialised(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    taken = mix(rows, row).where("taken > 0")
     # A document of several epochs has as many rows; the last may be cut.
-    epochs = F.explode(F.sequence(F.lit(0), F.floor((F.col("_taken") - 1) / F.col("_size")).cast("int")))
-    parts = taken.select("_id", "_size", "_taken", epochs.alias("_epoch"))
-    parts = parts.select("_id", "_size", F.least("_size", F.col("_taken") - F.col("_epoch") * F.col("_size")).alias("_words"))
-    met = docs.join(parts, docs["doc_id"].eqNullSafe(parts["_id"]))
+    epochs = F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int")))
+    parts = taken.select(row, "size", "taken", epochs.alias("epoch"))
+    words = F.least("size", F.col("taken") - F.col("epoch") * F.col("size"))
+    met = rows.join(parts.select(row, F.struct("size", words.alias("words")).alias(cut)), row)
+    whole = F.col(f"{cut}.words") >= F.col(f"{cut}.size")
     ends = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col("_words") >= F.col("_size"), F.col("text")).otherwise(
-        F.array_join(F.slice(ends, F.lit(1), F.col("_words").cast("int")), "")
-    )
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(ends, F.lit(1), F.col(f"{cut}.words").cast("int")), ""))
     changed = {"text": text}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_words") >= F.col("_size"), F.col("n_chars")).otherwise(
-            F.length(text).cast("bigint")
-        )
+        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(text).cast("bigint"))
     return met.withColumns(changed).select(*docs.columns)

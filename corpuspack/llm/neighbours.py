@@ -19,12 +19,14 @@ empty results.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Vectors in a block of queries and of candidates.
 QUERY_BLOCK, CANDIDATE_BLOCK = 256, 2048
@@ -32,24 +34,30 @@ QUERY_BLOCK, CANDIDATE_BLOCK = 256, 2048
 HELD_BLOCKS = 64
 
 
+def component(vectors: DataFrame) -> str:
+    """Vectors of floats stay so; any others are taken as doubles, so that no score loses precision."""
+    return "float" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "double"
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding, dims) of the vectors that take part."""
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
     kept = vectors.where(F.col("vec_id").isNotNull() & good & some)
-    kept = kept.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>"))
+    kept = kept.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast(f"array<{component(vectors)}>"))
     return kept.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dims", F.size("embedding"))
 
 
 def packed(vectors: DataFrame, rows: int) -> DataFrame:
     """(dims, ids, data): blocks of up to ``rows`` vectors of one length, as bytes."""
+    kind = np.float32 if component(vectors) == "float" else np.float64
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
 
         def block(dims):
             ids, parts = held.pop(dims)
-            data = np.concatenate(parts).astype(np.float32).tobytes()
+            data = np.concatenate(parts).astype(kind).tobytes()
             arrays = [pa.array([dims], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([data])]
             return pa.RecordBatch.from_arrays(arrays, names=["dims", "ids", "data"])
 
@@ -107,7 +115,7 @@ class Heaps:
         for i in range(len(self.ids)):
             if (lo := edges[i]) < (hi := edges[i + 1]):
                 found = list(zip(score[lo:hi].tolist(), (-ids[c[lo:hi]]).tolist()))
-                self.best[i] = sorted(self.best[i] + found, reverse=True)[: self.k]
+                self.best[i] = heapq.nlargest(self.k, self.best[i] + found)
                 if len(self.best[i]) == self.k:
                     self.least[i] = self.best[i][-1][0]
 
@@ -119,6 +127,7 @@ class Heaps:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates with the largest inner product for each query."""
     kept = usable(vectors)
+    kind = np.float32 if component(vectors) == "float" else np.float64
     queries = packed(kept.where(is_query), QUERY_BLOCK).select(
         "dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.xxhash64("ids").alias("query_block")
     )
@@ -138,7 +147,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             held.clear()
 
         def matrix(data, dims):
-            return np.frombuffer(data, np.float32).reshape(-1, dims)
+            return np.frombuffer(data, kind).reshape(-1, dims)
 
         for batch in batches:
             for row in range(batch.num_rows):

@@ -9,7 +9,7 @@ ids are never among them. Training uses a bounded sample, TRAINED rows of each l
 of their doc_id, and never a row that is held out: one whose crc32(doc_id as text) is a multiple of FOLDS.
 
 Null and empty texts have features of their own and a score like any other. A null doc_id isn't held out (its remainder
-is null, so it counts as false) and has no label. A doc_id with several labels trains with each. Texts of any length
+is null, so it counts as false) and has no label. A doc_id with several labels trains with each; of rows that repeat a doc_id, the least text does. Texts of any length
 are used whole. If either label has no row to learn from, all strengths are equal and everything scores 0.5. Other columns aren't used.
 """
 
@@ -145,7 +145,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, trained: int = TRAINED) ->
     chosen = one(0).union(one(1))
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     # At most 2 * TRAINED ids: a bound, so they are sent to where the texts are.
-    return texts.join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).select("doc_id", "quality", "text"), shares
+    met = texts.join(F.broadcast(chosen), F.col("id") == F.col("doc_id"))
+    # Rows that repeat a doc_id count once, or they would not be bounded.
+    return met.groupBy("doc_id", "quality").agg(F.min("text").alias("text")), shares
 
 
 def described(df: DataFrame) -> DataFrame:
@@ -189,8 +191,10 @@ def scored(docs: DataFrame, ranker: Ranker) -> DataFrame:
             features = np.array([describe(t) for t in part["text"]]).reshape(-1, len(FEATURES))
             yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "score": ranker.score(features)})
 
-    wanted = docs.select(F.col("doc_id").cast("bigint"), held_out().alias("held_out"), "text")
-    result = wanted.mapInPandas(work, "doc_id bigint, held_out boolean, score double")
+    # ids go as text: a null among numbers would make pandas round all of them
+    wanted = docs.select(F.col("doc_id").cast("bigint").cast("string"), held_out().alias("held_out"), "text")
+    result = wanted.mapInPandas(work, "doc_id string, held_out boolean, score double")
+    result = result.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     return result.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

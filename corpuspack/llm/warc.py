@@ -44,7 +44,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None, revisit: bool) -> bytes:
     """One WARC record. A revisit keeps the HTTP header, which names the payload's length."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -148,23 +148,24 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     asked = asked.select(
         F.col("archive").alias("home"),
         F.col("digest").alias("payload"),
-        F.col("best.page_id").alias("original"),
+        F.col("best.page_id").cast("string").alias("original"),
         F.col("best.at").alias("original_at"),
     )
 
     def work(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        number = lambda x: None if pd.isna(x) else int(x)
-        originals = {d: (number(o), u) for d, o, u in zip(known["payload"], known["original"], known["original_at"])}
+        # ids come as text: a null among numbers would make pandas round all of them
+        given = lambda x: None if pd.isna(x) else x
+        originals = {d: (given(o), u) for d, o, u in zip(known["payload"], known["original"], known["original_at"])}
         # sorted, so that the file is the same whenever the task runs
         part = part.sort_values(["page_id", "url", "digest"], kind="stable", na_position="first")
         stored: set[str] = set()
         records = []
         for page, url, body, digest in part[["page_id", "url", "html", "digest"]].itertuples(index=False):
             original, original_at = originals[digest]
-            first = (number(page), url or "") == (original, original_at) and digest not in stored
+            first = (given(page), url or "") == (original, original_at) and digest not in stored
             if first:
                 stored.add(digest)
-            records.append(record(number(page), url, body.encode(), original, not first))
+            records.append(record(given(page), url, body.encode(), original, not first))
         path = f"{folder}/archive-{int(part['archive'].iloc[0]):08d}.warc.zst"
         store, name = fs.FileSystem.from_uri(path)
         data = archive(records)
@@ -175,7 +176,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         store.move(draft, name)
         return pd.DataFrame({"path": [path], "records": [len(records)], "bytes": [len(data)]})
 
-    met = dealt.groupBy("archive").cogroup(asked.groupBy("home"))
+    named = dealt.withColumn("page_id", F.col("page_id").cast("string"))
+    met = named.groupBy("archive").cogroup(asked.groupBy("home"))
     return met.applyInPandas(work, "path string, records bigint, bytes bigint")
 
 
