@@ -1,7 +1,8 @@
 """From raw documents to tokens: quality, copies, near copies, mixture, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the
-columns of ``documents``.
+columns of ``documents``. Null ids, repeated ids and rows, null and empty texts and columns of any name are kept apart row by
+row; what each stage does with them its operator's docstring says. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -9,13 +10,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuspack.llm import exact, jaccard, mixing, quality
-from corpuspack.llm.common import table
+from corpuspack.llm.common import table, unused
 from corpuspack.llm.queries import encoded_digests
-from corpuspack.session import checkpoint_dir
+from corpuspack.session import checkpoint_dir, materialised
 
-#: The classifier has no SQL counterpart; tests compare each stage with a brute-force version.
+#: The classifier has no SQL counterpart. Tests compare copies, near copies, mixture and encoding with brute force, and
+#: the classifier with held-out labels.
 ORACLE_SQL = None
 
 
@@ -30,10 +33,20 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies stays. Documents without words are no copies of anything."""
-    found = jaccard.jaccard_components(docs)
-    others = found.where("component_id <> doc_id").select("doc_id")
-    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one row stays, that with the smallest doc_id (null last). Documents without words
+    are no copies of anything.
+
+    Rows are numbered and written, and the join takes the numbers for ids: what doc_ids rows have, or share, decides
+    nothing but which of a group stays.
+    """
+    row = unused(docs.columns, "near_row")
+    rows = materialised(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    found = jaccard.jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"))
+    placed = found.select(F.col("doc_id").alias("number"), "component_id")
+    ids = rows.select(F.col(row).alias("number"), F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("rank"))
+    first = placed.join(ids, "number").groupBy("component_id").agg(F.min("rank").alias("rank"))
+    stays = first.select(F.col(f"rank.{row}").alias(row))
+    return rows.join(stays, row, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
