@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import sys
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
@@ -32,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuspack.llm.common import FLUSH_BYTES, rows_of
+from corpuspack.llm.common import FLUSH_BYTES, kept_in_worker, rows_of
 
 #: Characters of a text, and bytes of a match, that are encoded without halving.
 TEXT_LEAF = 1 << 16
@@ -40,7 +39,7 @@ MATCH_LEAF = 64
 #: Bytes up to which merges are found by scanning all neighbours.
 SCANNED = 24
 #: Matches remembered by a worker, in two halves: when the newer half is full, it becomes the older one.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Pairs of tokens of which a worker remembers whether they stay apart.
 REMEMBERED_PAIRS = 400_000
 
@@ -275,24 +274,14 @@ def _ids_batch(keys: list, packed: list[bytes], key_type: pa.DataType) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(keys, key_type), lists], names=["doc_id", "ids"])
 
 
-def _encoder(name: str, ranks, pattern: str) -> Bpe:
-    """A worker's one encoder. It keeps what it remembers for later tasks of the same encoding, and makes way for the
-    encoder of another, so that no more than one is ever held. Functions come to a worker anew with each
-    task; what outlives them is put on a module of the interpreter's own."""
-    held = getattr(sys, "_corpuspack_encoder", (None, None))
-    if held[0] != name:
-        sys._corpuspack_encoder = None, None
-        held = sys._corpuspack_encoder = name, Bpe(ranks.value, pattern)
-    return held[1]
-
-
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(doc_id, ids): the tokens of every whole text. Ranks are sent to workers: a vocabulary has a fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     name = uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _encoder(name, shared, pattern)
+        # it remembers what later tasks of the same encoding need again
+        bpe = kept_in_worker(name, lambda: Bpe(shared.value, pattern))
         keys, ids, weight = [], [], 0
         for key, text in rows_of(batches, "doc_id", "text"):
             keys.append(key)

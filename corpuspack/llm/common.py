@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,21 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def kept_in_worker(name: str, make: Callable):
+    """What ``make`` gives, kept in this worker for later tasks that ask for the same name. Functions come to a worker
+    anew with each task; what is to outlive them is put on a module of the interpreter's own. A worker keeps
+    one thing at a time: another name, or forget_in_worker, lets go of it."""
+    held = getattr(sys, "_corpuspack_kept", None)
+    if held is None or held[0] != name:
+        forget_in_worker()
+        held = sys._corpuspack_kept = name, make()
+    return held[1]
+
+
+def forget_in_worker() -> None:
+    sys._corpuspack_kept = None
+
+
 def unused(columns: list[str], name: str) -> str:
     """``name``, or a longer one that no column has, whatever the case."""
     taken = {c.lower() for c in columns}

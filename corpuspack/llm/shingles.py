@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from corpuspack.llm.common import forget_in_worker
+
 #: Documents are hashed together until they hold this many bytes.
 BATCH_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -39,6 +41,7 @@ class Words:
     """Word hashes of texts. Words are separated by the six blank ASCII characters; A-Z count as a-z."""
 
     def __init__(self):
+        forget_in_worker()  # what is hashed next needs the memory
         self.space, self.lower = _tables()
         self.up = self.down = powers(_BASE, 0)
 
