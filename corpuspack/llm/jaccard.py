@@ -40,7 +40,7 @@ from corpuspack.session import materialised
 #: Frequent shingles that are put last: the bound of what is sent to workers.
 FREQUENT = 100_000
 #: A worker reports a shingle that it meets this often among COUNTED shingles. It counts equal sets once.
-REPORTED, COUNTED = 2, 1 << 21
+REPORTED, COUNTED = 2, 1 << 20
 #: Lists of up to this many nodes yield all their pairs at once.
 SMALL_LIST = 8
 #: The boundary is sought among sizes up to this.
@@ -52,7 +52,7 @@ KNOWN_LISTS = 64
 #: Nodes of a long list that are compared in one place.
 LIST_PART = 4096
 #: Keys that one block holds on average.
-BLOCK_KEYS = 400_000
+BLOCK_KEYS = 200_000
 
 _ENTRY = np.dtype([("key", "<u4"), ("size", "<u4"), ("node", "<i8")])
 _NODE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
