@@ -274,54 +274,74 @@ def _ids_batch(keys: list, packed: list[bytes], key_type: pa.DataType) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(keys, key_type), lists], names=["doc_id", "ids"])
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(doc_id, ids): the tokens of every whole text. Ranks are sent to workers: a vocabulary has a fixed size."""
+def _encoded(batches: Iterator[pa.RecordBatch], bpe: Bpe) -> Iterator[pa.RecordBatch]:
+    keys, ids, weight = [], [], 0
+    for key, text in rows_of(batches, "doc_id", "text"):
+        keys.append(key)
+        ids.append(bpe.packed(text))
+        weight += len(ids[-1]) + 16
+        if weight >= FLUSH_BYTES:
+            yield _ids_batch(keys, ids, pa.int64())
+            keys, ids, weight = [], [], 0
+    if keys:
+        yield _ids_batch(keys, ids, pa.int64())
+
+
+def _token_bytes(ranks: dict[bytes, int]) -> pa.Array:
+    tokens = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return pa.array(tokens, pa.binary())
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], tokens: pa.Array) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        start = 0
+        while start < batch.num_rows:
+            part = batch.slice(start, 256)
+            start += 256
+            ids = part.column("ids")
+            pieces = tokens.take(ids.flatten())
+            if pieces.null_count:
+                raise ValueError("an id is not in the vocabulary")
+            # The bytes of all tokens follow one another, so a row's bytes lie between two of their offsets.
+            _, ends, data = pieces.buffers()
+            ends = np.frombuffer(ends, np.int32)[pieces.offset :]
+            sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            rows = np.concatenate(([0], np.cumsum(sizes)))
+            offsets = pa.py_buffer(ends[rows].tobytes()) if len(pieces) else pa.py_buffer(bytes(4 * len(rows)))
+            whole = pa.Array.from_buffers(pa.binary(), len(ids), [None, offsets, data])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, whole], names=["doc_id", "ids", "data"])
+
+
+def _mapped(docs: DataFrame, ranks: dict[bytes, int], pattern: str, decode: bool) -> DataFrame:
+    """Ranks are sent to workers: a vocabulary has a fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     name = uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # it remembers what later tasks of the same encoding need again
         bpe = kept_in_worker(name, lambda: Bpe(shared.value, pattern))
-        keys, ids, weight = [], [], 0
-        for key, text in rows_of(batches, "doc_id", "text"):
-            keys.append(key)
-            ids.append(bpe.packed(text))
-            weight += len(ids[-1]) + 16
-            if weight >= FLUSH_BYTES:
-                yield _ids_batch(keys, ids, pa.int64())
-                keys, ids, weight = [], [], 0
-        if keys:
-            yield _ids_batch(keys, ids, pa.int64())
+        encoded = _encoded(batches, bpe)
+        return _decoded(encoded, _token_bytes(shared.value)) if decode else encoded
+
+    schema = "doc_id bigint, ids array<int>" + (", data binary" if decode else "")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(work, schema)
+
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(work, "doc_id bigint, ids array<int>")
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(doc_id, ids): the tokens of every whole text."""
+    return _mapped(docs, ranks, pattern, decode=False)
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(doc_id, ids, data): the tokens of every whole text, and the bytes that these decode to. Both in one worker:
+    ids need not go through Spark in between, and no second worker holds memory."""
+    return _mapped(docs, ranks, pattern, decode=True)
 
 
 def decode_ids(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(doc_id, ids, data): the bytes that the ids stand for."""
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = [None] * (max(shared.value.values(), default=-1) + 1)
-        for token, rank in shared.value.items():
-            tokens[rank] = token
-        tokens = pa.array(tokens, pa.binary())
-        for batch in batches:
-            start = 0
-            while start < batch.num_rows:
-                part = batch.slice(start, 256)
-                start += 256
-                ids = part.column("ids")
-                pieces = tokens.take(ids.flatten())
-                if pieces.null_count:
-                    raise ValueError("an id is not in the vocabulary")
-                # The bytes of all tokens follow one another, so a row's bytes lie between two of their offsets.
-                _, ends, data = pieces.buffers()
-                ends = np.frombuffer(ends, np.int32)[pieces.offset :]
-                sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                rows = np.concatenate(([0], np.cumsum(sizes)))
-                offsets = pa.py_buffer(ends[rows].tobytes()) if len(pieces) else pa.py_buffer(bytes(4 * len(rows)))
-                whole = pa.Array.from_buffers(pa.binary(), len(ids), [None, offsets, data])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, whole], names=["doc_id", "ids", "data"])
-
-    wanted = encoded.select("doc_id", "ids")
-    return wanted.mapInArrow(work, "doc_id bigint, ids array<int>, data binary")
+    work = lambda batches: _decoded(batches, _token_bytes(shared.value))
+    return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id bigint, ids array<int>, data binary")

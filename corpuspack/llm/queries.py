@@ -109,7 +109,7 @@ FROM p
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """The digest columns of the contract, from the operator's ids and decoded bytes."""
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
-    decoded = bpe.decode_ids(bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN), ranks)
+    decoded = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

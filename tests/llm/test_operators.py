@@ -234,6 +234,13 @@ def test_bpe_documents(docs, vocabulary):
     assert got == sorted((r["doc_id"], peer.encode_ordinary(r["text"] or ""), (r["text"] or "").encode()) for r in docs.collect())
 
 
+def test_bpe_round_trip_equals_its_steps(docs):
+    ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
+    rows = lambda df: sorted(map(str, df.collect()))
+    steps = bpe.decode_ids(bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN), ranks)
+    assert rows(bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)) == rows(steps)
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "u", "<p>é</p>", 1), (2, None, None, 1), (3, "v", "", 1), (4, "a\r\nb", "<p>é</p>", 1), (4, "a\r\nb", "<p>é</p>", 1), (None, "w", "z", 1)]
     rows += [(k, "u", "page %d " % k * 50, 1) for k in range(10, 60)]
