@@ -39,9 +39,9 @@ MATCH_LEAF = 64
 #: Bytes up to which merges are found by scanning all neighbours.
 SCANNED = 24
 #: Matches remembered by a worker, in two halves: when the newer half is full, it becomes the older one.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Pairs of tokens of which a worker remembers whether they stay apart.
-REMEMBERED_PAIRS = 400_000
+REMEMBERED_PAIRS = 150_000
 
 _CUT = regex.compile(r"(?<=\S)(?=\s)")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Iterator
 
@@ -36,7 +37,10 @@ def kept_in_worker(name: str, make: Callable):
 
 
 def forget_in_worker() -> None:
+    """Also gives memory that earlier tasks of this worker no longer use back to the system."""
     sys._corpuspack_kept = None
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def unused(columns: list[str], name: str) -> str:

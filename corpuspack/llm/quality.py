@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuspack.llm.common import forget_in_worker
 from corpuspack.llm.shingles import Words
 
 #: Rows of each label that training takes at most.
@@ -155,6 +156,7 @@ def described(df: DataFrame) -> DataFrame:
     others = [c for c in df.columns if c != "text"]
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_in_worker()
         describe = Describer()
         for part in parts:
             out = part[others].copy()

@@ -41,7 +41,6 @@ class Words:
     """Word hashes of texts. Words are separated by the six blank ASCII characters; A-Z count as a-z."""
 
     def __init__(self):
-        forget_in_worker()  # what is hashed next needs the memory
         self.space, self.lower = _tables()
         self.up = self.down = powers(_BASE, 0)
 
@@ -65,6 +64,7 @@ def shingle_sets(
     rows: Iterator[tuple], words: int = 5, batch_bytes: int = BATCH_BYTES
 ) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(keys, owner, hashes) for batches of (key, text): distinct shingles, sorted by owner and hash."""
+    forget_in_worker()  # sets need the memory
     hasher = Words()
     keys: list = []
     texts: list[bytes] = []
