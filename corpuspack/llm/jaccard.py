@@ -12,13 +12,16 @@ order puts widespread shingles last. Which ones those are is counted over all do
 frequent); it steers the work and cannot change the result.
 
 Equal sets become one node. A list of few nodes yields all its pairs; a longer one links each node to the first and
-to the next, and its other pairs are only examined where nodes remain in different components. Candidates pass an
+to the next, and its other pairs are examined where nodes remain in different components. Candidates pass an
 exact bound first: parity bitmaps of the sets differ in at most as many bits as the sets have elements that differ.
-The rest are verified on their texts.
-
-Null and blank texts have an empty set and are linked with nothing. Texts of any length count as a whole. Rows that
-repeat a doc_id are separate rows; a null doc_id never names a component unless no other doc_id is in it. A set
-that only rows without a doc_id have is linked with nothing. Other columns of the input aren't used.
+The rest are verified on their texts. Links between nodes of a long list that are connected already can't change a
+component; they are counted, not emitted: the sets of such nodes of a component are dealt into parts of bounded size,
+and every two parts meet once in a matrix of overlaps.
+
+Null and blank texts have an empty set and are linked with nothing. Texts of any length count as a whole. Rows are
+told apart by a digest of doc_id and text. Rows that repeat a doc_id are separate rows, and so are rows without one; a
+null doc_id never names a component unless no other doc_id is in it. Rows that repeat doc_id and text count as equal
+copies. Other columns of the input aren't used. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -53,6 +56,10 @@ KNOWN_LISTS = 64
 LIST_PART = 4096
 #: Keys that one block holds on average.
 BLOCK_KEYS = 200_000
+#: Nodes and shingles that a part of a component holds on average when its links are counted.
+COUNT_NODES, COUNT_SHINGLES = 2048, 1 << 19
+#: Bits of the map by which rows that no pair asks for stay where they are: 8 MB, whatever the input's size.
+MAP_BITS = 1 << 26
 
 _ENTRY = np.dtype([("key", "<u4"), ("size", "<u4"), ("node", "<i8")])
 _NODE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -63,19 +70,24 @@ def needed(percent: int, size):
     return -(-size * percent // 100)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text): ``row`` stands for doc_id and text."""
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("row"), "text")
+
+
 def facts(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document (doc_id, node, size, bitmap), and rows (node: shingle, size: count, no bitmap)."""
+    """One row per document (doc_id, row, node, size, bitmap), and rows (node: shingle, size: count, no bitmap)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             held, count = [], 0
             seen: set[int] = set()
-            for keys, owner, values in shingle_sets(rows_of(batches, "doc_id", "text"), words):
+            for keys, owner, values in shingle_sets(keyed(batches), words):
                 edges = np.searchsorted(owner, np.arange(len(keys) + 1))
                 for key, lo, hi in zip(keys, edges, edges[1:]):
                     own = values[lo:hi]
                     node = set_digest(own) if len(own) else None
-                    yield (key, node, len(own), parity(own)), 40 + len(own) // 4
+                    yield (*key, node, len(own), parity(own)), 48 + len(own) // 4
                     if len(own) and node not in seen:
                         seen.add(node)
                         held.append(own)
@@ -90,13 +102,15 @@ def facts(docs: DataFrame, words: int) -> DataFrame:
                 values, counts = np.unique(np.concatenate(held), return_counts=True)
                 often = counts >= REPORTED
                 for value, n in zip(values[often].view(np.int64).tolist(), counts[often].tolist()):
-                    yield (None, value, n, None), 24
+                    yield (None, None, value, n, None), 24
+
+        whole = [(name, pa.int64()) for name in ("doc_id", "row", "node", "size")]
+        yield from batches_of(rows(), pa.schema([*whole, ("bitmap", pa.binary())]))
 
-        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("bitmap", pa.binary())])
-        yield from batches_of(rows(), schema)
+    def keyed(batches):
+        return (((key, row), text) for key, row, text in rows_of(batches, "doc_id", "row", "text"))
 
-    wanted = docs.select(F.col("doc_id").cast("bigint"), "text")
-    return wanted.mapInArrow(work, "doc_id bigint, node bigint, size bigint, bitmap binary")
+    return numbered(docs).mapInArrow(work, "doc_id bigint, row bigint, node bigint, size bigint, bitmap binary")
 
 
 def parity(values: np.ndarray) -> bytes:
@@ -263,15 +277,26 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(work, "a bigint, b bigint")
 
 
+def asked(docs: DataFrame, sides: DataFrame) -> DataFrame:
+    """(row, text) of the rows that ``sides`` (row) names, and of a few more: a map of a fixed number of bits, sent to all
+    tasks, tells most others before any text moves."""
+    place = F.pmod("row", F.lit(MAP_BITS))
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    maps = sides.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.expr("substring(bits, int(bit div 8) + 1, 1)")), 16, 10).cast("int")
+    found = numbered(docs).withColumns({"bucket": bucket, "bit": bit}).join(F.broadcast(maps), "bucket")
+    return found.where(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select("row", "text")
+
+
 def verified(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose sets are similar enough. ``chosen`` (node, doc_id) names a document of each node.
+    """Pairs (a, b) of nodes whose sets are similar enough. ``chosen`` (node, row) names a row of each node.
 
     The narrow side is written first, so its real size decides how it meets the texts; no other text moves on.
     """
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    sides = materialised(sides.join(chosen, "node").select("a", "b", "doc_id"), "jaccard-sides")
-    met = docs.select(F.col("doc_id").cast("bigint"), "text").join(sides, "doc_id")
-    met = met.groupBy("a", "b").agg(F.collect_list("text").alias("texts"))
+    sides = materialised(sides.join(chosen, "node").select("a", "b", "row"), "jaccard-sides")
+    met = asked(docs, sides).join(sides, "row")
+    met = met.groupBy("a", "b").agg(F.collect_set("text").alias("texts"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
@@ -286,7 +311,7 @@ def verified(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, words: int, p
                 for key, lo, hi in zip(keys, edges, edges[1:]):
                     if key != pair:
                         pair, sets = key, {}
-                    # a repeated doc_id can bring in other texts: only the two sets asked for count
+                    # digests of rows that clash can bring in other texts: only the two sets asked for count
                     digest = set_digest(values[lo:hi])
                     if digest in key and digest not in sets:
                         sets[digest] = values[lo:hi]
@@ -302,8 +327,7 @@ def verified(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, words: int, p
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): n_links counts verified links of a document's set, and the
-    other documents with an equal one; links inside long lists of nodes already connected aren't counted."""
+    """(doc_id, n_shingles, component_id, n_links): n_links counts the other rows that a row's set is similar enough to."""
     spark = docs.sparkSession
     known = materialised(facts(docs, words), "jaccard-facts")
     rows = known.where("bitmap is not null")
@@ -331,8 +355,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> Da
     lists = materialised(lists.withColumn("list", F.monotonically_increasing_id()), "jaccard-lists")
     members = lists.select("list", F.explode("members").alias("node"))
 
-    # One document for each node stands for its set.
-    chosen = materialised(sized.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-chosen")
+    # One row for each node stands for its set; where there is a choice, one with a doc_id.
+    chosen = sized.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"), F.count("*").alias("copies"))
+    chosen = materialised(chosen.select("node", F.col("least.row").alias("row"), F.col("least.doc_id").alias("first"), "copies"), "jaccard-chosen")
     links = materialised(verified(near, chosen, docs, words, percent), "jaccard-links")
     labels = connected_components(links)
 
@@ -355,12 +380,10 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> Da
         if not more.isEmpty():
             labels = connected_components(links)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    per_node = sized.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    per_node = per_node.join(labels, "node", "left").join(degree, "node", "left")
-    per_node = per_node.withColumn("component", F.coalesce("component", "node"))
+    per_node = chosen.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = per_node.groupBy("component").agg(F.min("first").alias("component_id"))
-    per_node = per_node.join(least, "component").select(
+    degree = degrees(docs, members, labels, links, chosen, words, percent)
+    per_node = per_node.join(least, "component").join(degree, "node", "left").select(
         "node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     return rows.join(per_node, "node", "left").select(
@@ -399,54 +422,190 @@ def to_hubs(placed: DataFrame, turn: int) -> DataFrame:
 def across(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): plausible pairs of one list in different components. ``placed``: (list, node, component).
 
-    A list is dealt out in parts of about LIST_PART nodes. Its nodes outside its largest component go to every part.
+    A list is dealt out in parts of about LIST_PART nodes, and its nodes outside its largest component, the visitors, in
+    parts of as many. Each part meets each part of visitors in a place of its own.
     """
-    parts = split(placed).select("list", "major", F.ceil(F.col("n") / LIST_PART).cast("int").alias("parts"))
-    minor = F.col("component") != F.col("major")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    everywhere = F.when(minor, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
-    dealt = placed.join(parts, "list").select(
-        "list", "node", "component", minor.alias("minor"), own.alias("own"), F.explode(everywhere).alias("part")
+    parts_of = lambda n: F.ceil(n / LIST_PART).cast("int")
+    parts = split(placed).select("list", "major", parts_of(F.col("n")).alias("parts"), parts_of(F.col("n") - F.col("major_n")).alias("visits"))
+    dealt = placed.join(parts, "list").withColumn("visitor", F.col("component") != F.col("major"))
+    part = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    homes = dealt.select("list", "node", "component", "visitor", F.lit(True).alias("home"), part("parts").alias("i"), every("visits").alias("j"))
+    visitors = dealt.where("visitor").select(
+        "list", "node", "component", "visitor", F.lit(False).alias("home"), every("parts").alias("i"), part("visits").alias("j")
     )
     # Two nodes that meet in several lists are compared in the first, as far as each knows its first lists.
-    lists = dealt.select("list", "node").distinct().groupBy("node").agg(F.collect_list("list").alias("lists"))
-    lists = lists.select("node", F.slice(F.array_sort("lists"), 1, KNOWN_LISTS).alias("lists"))
-    dealt = dealt.join(nodes.select("node", "size", "bitmap"), "node").join(lists, "node")
+    lists = dealt.groupBy("node").agg(F.sort_array(F.collect_set("list")).alias("lists"))
+    lists = lists.select("node", F.slice("lists", 1, KNOWN_LISTS).alias("lists"))
+    met = homes.unionByName(visitors).join(nodes.select("node", "size", "bitmap"), "node").join(lists, "node")
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "node"])
-        size, node, component, minor = (group[c].to_numpy() for c in ("size", "node", "component", "minor"))
-        home = (group["own"] == group["part"]).to_numpy()
-        maps = [np.frombuffer(x, np.uint64) for x in group["bitmap"]]
-        width = np.array([len(x) for x in maps])
-        stop = np.searchsorted(size * percent, size * 100, side="right")
         here = group["list"].iloc[0]
-        met = [frozenset(x[x < here].tolist()) for x in group["lists"]]
-        stacked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        group = group.sort_values(["size", "node"])
+        home, visitor = group[group["home"]], group[~group["home"]]
+        size, node, component, outside = (home[c].to_numpy() for c in ("size", "node", "component", "visitor"))
+        known = [frozenset(x[x < here].tolist()) for x in home["lists"]]
+        maps = [np.frombuffer(x, np.uint64) for x in home["bitmap"]]
+        widths = np.array([len(x) for x in maps])
+        stacks = {w: (np.flatnonzero(widths == w), np.stack([m for m in maps if len(m) == w])) for w in set(widths.tolist())}
+        folded: dict[tuple[int, int], np.ndarray] = {}
+
+        def differences(own: np.ndarray, width: int, lo: int, hi: int) -> np.ndarray:
+            """In how many bits the map differs from those of the homes of a width and of places from lo to hi."""
+            least = min(width, len(own))
+            if (width, least) not in folded:
+                folded[width, least] = np.bitwise_xor.reduce(stacks[width][1].reshape(-1, width // least, least), axis=1)
+            own = np.bitwise_xor.reduce(own.reshape(-1, least), axis=0)
+            return np.bitwise_count(folded[width, least][lo:hi] ^ own).sum(1).astype(np.int64)
+
         left, right = [], []
-        for i in range(len(group)):
-            other = np.arange(i + 1, stop[i])
-            # one of the two is outside the largest component, and one is at home in this part
-            other = other[(component[other] != component[i]) & (minor[i] | minor[other]) & (home[i] | home[other])]
-            if not len(other):
-                continue
-            if width[i] not in stacked:
-                near = np.flatnonzero((width >= width[i]) & (width <= 2 * width[i]))
-                rows = [maps[k] if width[k] == width[i] else maps[k][: width[i]] ^ maps[k][width[i] :] for k in near]
-                place = np.full(len(group), -1)
-                place[near] = np.arange(len(near))
-                stacked[width[i]] = place, np.stack(rows)
-            place, rows = stacked[width[i]]
-            differ = np.bitwise_count(rows[place[other]] ^ maps[i]).sum(1).astype(np.int64)
-            overlap = (size[i] + size[other] - differ) // 2
-            other = other[overlap * 100 >= percent * (size[i] + size[other] - overlap)]
-            if met[i]:
-                other = other[[met[i].isdisjoint(met[k]) for k in other]] if len(other) else other
-            left.append(np.full(len(other), node[i]))
-            right.append(node[other])
-        if not left:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        a, b = np.concatenate(left), np.concatenate(right)
+        for n, key, place, bits, lists in zip(*(visitor[c] for c in ("size", "node", "component", "bitmap", "lists"))):
+            own, before = np.frombuffer(bits, np.uint64), lists[lists < here].tolist()
+            low, high = np.searchsorted(size * 100, n * percent), np.searchsorted(size * percent, n * 100, side="right")
+            for width, (rows, _) in stacks.items():
+                lo, hi = np.searchsorted(rows, [low, high])
+                if lo >= hi:
+                    continue
+                other = rows[lo:hi]
+                overlap = (n + size[other] - differences(own, width, lo, hi)) // 2
+                near = overlap * 100 >= percent * (n + size[other] - overlap)
+                # two visitors meet twice, each as the other's home
+                other = other[near & (component[other] != place) & (~outside[other] | (node[other] < key))]
+                if before:
+                    other = other[[known[k].isdisjoint(before) for k in other]] if len(other) else other
+                left.append(np.full(len(other), key))
+                right.append(node[other])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.groupBy("list", "part").applyInPandas(work, "a bigint, b bigint")
+    return met.groupBy("list", "i", "j").applyInPandas(work, "a bigint, b bigint")
+
+
+def degrees(
+    docs: DataFrame, members: DataFrame, labels: DataFrame, links: DataFrame, chosen: DataFrame, words: int, percent: int
+) -> DataFrame:
+    """(node, links): the other rows, by their nodes' copies, that a node is linked with.
+
+    Verified links are complete but for nodes that share a long list and a component. Such nodes of a component are
+    open: links among them are counted anew from their sets.
+    """
+    together = members.join(labels, "node").groupBy("list", "component").agg(F.collect_set("node").alias("nodes"), F.count("*").alias("n"))
+    opened = together.where("n > 1").select("component", F.explode("nodes").alias("node")).distinct()
+    opened = materialised(opened.join(chosen.select("node", "row", "copies"), "node"), "jaccard-open")
+    mark = opened.select("node", F.lit(True).alias("open"))
+    sides = links.join(mark.withColumnsRenamed({"node": "a", "open": "open_a"}), "a", "left")
+    sides = sides.join(mark.withColumnsRenamed({"node": "b", "open": "open_b"}), "b", "left")
+    sides = sides.where("open_a is null or open_b is null")
+    ends = sides.select("a", "b").union(sides.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    direct = ends.join(chosen.select(F.col("node").alias("b"), "copies"), "b").select(F.col("a").alias("node"), F.col("copies").alias("links"))
+    return direct.union(counted(sets_of(docs, opened, words), percent)).groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def sets_of(docs: DataFrame, opened: DataFrame, words: int) -> DataFrame:
+    """(component, node, copies, size, shingles) of the open nodes, written once."""
+    met = asked(docs, opened).join(opened, "row").groupBy("component", "node", "copies").agg(F.collect_set("text").alias("texts"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            for component, node, copies, texts in rows_of(batches, "component", "node", "copies", "texts"):
+                for text in texts:
+                    yield (component, node, copies), text
+
+        def rows():
+            for keys, owner, values in shingle_sets(each(), words):
+                edges = np.searchsorted(owner, np.arange(len(keys) + 1))
+                for key, lo, hi in zip(keys, edges, edges[1:]):
+                    if set_digest(values[lo:hi]) == key[1]:
+                        yield (*key, int(hi - lo), values[lo:hi].tobytes()), 8 * int(hi - lo) + 32
+
+        whole = [(name, pa.int64()) for name in ("component", "node", "copies", "size")]
+        yield from batches_of(rows(), pa.schema([*whole, ("shingles", pa.binary())]))
+
+    found = met.mapInArrow(work, "component bigint, node bigint, copies bigint, size bigint, shingles binary")
+    return materialised(found, "jaccard-sets")
+
+
+def counted(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, links): the copies of the nodes that each is linked with, part by part of its component."""
+    sums = sets.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    parts = F.greatest(F.ceil(F.col("n") / COUNT_NODES), F.ceil(F.col("total") / COUNT_SHINGLES)).cast("int")
+    dealt = sets.join(sums.select("component", parts.alias("parts")), "component")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = ["component", "i", "j"]
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    dealt = dealt.select(*key, "own", "node", "copies", "shingles").repartition(*key).sortWithinPartitions(*key, "own")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            place, held = None, []
+            for *here, own, node, copies, shingles in rows_of(batches, *key, "own", "node", "copies", "shingles"):
+                if here != place:
+                    yield from found(place, held)
+                    place, held = here, []
+                held.append((own, node, copies, np.frombuffer(shingles, np.uint64)))
+            yield from found(place, held)
+
+        def found(place, held):
+            if not held:
+                return
+            one = [x for x in held if x[0] == place[1]]
+            two = one if place[1] == place[2] else [x for x in held if x[0] == place[2]]
+            if not one or not two:
+                return
+            linked = alike([x[3] for x in one], [x[3] for x in two], percent)
+            if one is two:
+                np.fill_diagonal(linked, False)
+            for side, other, hits in [(one, two, linked)] + ([] if one is two else [(two, one, linked.T)]):
+                weights = hits @ np.array([x[2] for x in other], np.int64)
+                yield from (((x[1], n), 16) for x, n in zip(side, weights.tolist()) if n)
+
+        yield from batches_of(rows(), pa.schema([("node", pa.int64()), ("links", pa.int64())]))
+
+    return dealt.mapInArrow(work, "node bigint, links bigint")
+
+
+def alike(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of the two sides are similar enough. Shingles that many sets of both sides hold are multiplied as a
+    matrix, those that few hold pair by pair."""
+    m, n = len(one), len(two)
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (one, two)]
+    distinct, column = np.unique(np.concatenate(one + two), return_inverse=True)
+    rows = [np.repeat(np.arange(len(side)), size) for side, size in zip((one, two), sizes)]
+    columns = column[: len(rows[0])], column[len(rows[0]) :]
+    often = [np.bincount(c, minlength=len(distinct)) for c in columns]
+    work = often[0] * often[1]
+    overlap = np.zeros(m * n, np.int32)
+
+    dense = np.flatnonzero(work * 128 > m * n)
+    for at in range(0, len(dense), 1024):
+        number = np.full(len(distinct), -1)
+        number[dense[at : at + 1024]] = np.arange(len(dense[at : at + 1024]))
+        sides = []
+        for row, c, count in zip(rows, columns, (m, n)):
+            use = number[c] >= 0
+            side = np.zeros((count, 1024), np.float32)
+            side[row[use], number[c[use]]] = 1
+            sides.append(side)
+        overlap += (sides[0] @ sides[1].T).astype(np.int32).ravel()
+
+    few = (work > 0) & (work * 128 <= m * n)
+    use = [few[c] for c in columns]
+    left = rows[0][use[0]], columns[0][use[0]]
+    order = np.argsort(columns[1][use[1]], kind="stable")
+    right, sorted_ = rows[1][use[1]][order], columns[1][use[1]][order]
+    first, count = np.searchsorted(sorted_, left[1]), often[1][left[1]]
+    steps = np.cumsum(count)
+    lo = 0
+    while lo < len(count):
+        hi = max(lo + 1, int(np.searchsorted(steps, (steps[lo - 1] if lo else 0) + (1 << 21), side="right")))
+        c = count[lo:hi]
+        within = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        pair = np.repeat(left[0][lo:hi], c) * n + right[np.repeat(first[lo:hi], c) + within]
+        if len(pair) * 8 > m * n:
+            overlap += np.bincount(pair, minlength=m * n).astype(np.int32)
+        else:
+            np.add.at(overlap, pair, 1)
+        lo = hi
+    overlap = overlap.reshape(m, n).astype(np.int64)
+    return overlap * 100 >= percent * (sizes[0][:, None] + sizes[1] - overlap)

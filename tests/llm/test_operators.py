@@ -109,8 +109,73 @@ def test_jaccard(docs, monkeypatch, small_list):
         for b, t in rows:
             if s and t and 100 * len(s & t) >= 75 * len(s | t) and top(a) != top(b):
                 least[max(top(a), top(b))] = min(top(a), top(b))
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()]
-    assert sorted(got) == sorted((k, len(s), top(k)) for k, s in rows)
+    n_links = [sum(alike(s, t) for _, t in rows) - bool(s) for _, s in rows]
+    got = [tuple(r) for r in jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id", "n_links").collect()]
+    assert sorted(got) == sorted((k, len(s), top(k), n) for (k, s), n in zip(rows, n_links))
+
+
+def alike(s, t):
+    return bool(s and t) and 100 * len(s & t) >= 75 * len(s | t)
+
+
+@pytest.mark.parametrize("count_nodes, list_part", [(2048, 4096), (64, 32)])
+def test_jaccard_counts_all_links_of_a_large_group(spark, monkeypatch, count_nodes, list_part):
+    monkeypatch.setattr(jaccard, "COUNT_NODES", count_nodes)
+    monkeypatch.setattr(jaccard, "LIST_PART", list_part)
+    draw = random.Random(8)
+    base = ["w%d" % k for k in range(120)]
+    rows = []
+    for k in range(500):
+        words = list(base)
+        for _ in range(draw.randint(0, 5)):
+            words[draw.randrange(120)] = "x%d" % draw.randrange(10**6)
+        rows.append((k, " ".join(words)))
+    rows += [(k, t) for k, t in rows[:40]] + [(None, rows[7][1]), (None, rows[9][1] + " end")]
+    sets = [shingles(t) for _, t in rows]
+    want = [sum(alike(s, t) for t in sets) - 1 for s in sets]
+    assert min(want) < max(want)
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_links"]) for r in found) == sorted(
+        (-1 if k is None else k, n) for (k, _), n in zip(rows, want)
+    )
+
+
+def test_a_row_without_an_id_links_others(spark):
+    words = ["w%d" % k for k in range(100)]
+    rows = [(9, " ".join(words[:90])), (None, " ".join(words[8:98])), (None, " ".join(words[8:98])), (5, " ".join(words[14:] + ["x", "y"]))]
+    rows += [(6, "nothing like it"), (None, None)]
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    sets = {k: shingles(t) for k, t in rows if k is not None}
+    assert not alike(sets[5], sets[9])
+    got = sorted((r["doc_id"] or 0, r["component_id"], r["n_links"]) for r in found if r["n_shingles"])
+    assert got == [(0, 5, 3), (0, 5, 3), (5, 5, 2), (6, 6, 0), (9, 5, 2)]
+
+
+def test_overlaps_of_many_and_of_few():
+    draw = np.random.default_rng(5)
+    for spread, count in ((60, 40), (400, 70), (10**6, 30), (3, 300)):
+        sides = [[np.unique(draw.integers(0, spread, draw.integers(1, 60))).astype(np.uint64) for _ in range(count + k)] for k in (0, 9)]
+        want = [[100 * len(set(a) & set(b)) >= 40 * len(set(a) | set(b)) for b in sides[1]] for a in sides[0]]
+        assert (jaccard.alike(*sides, 40) == np.array(want)).all()
+
+
+def test_two_visitors_of_a_list_meet_in_its_parts(spark, monkeypatch):
+    """Nodes of one list in components of their own, some in a larger one: each plausible pair once."""
+    draw = random.Random(4)
+    sets = [np.array(sorted(draw.sample(range(1000, 1200), draw.randint(150, 190))), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(90)]
+    nodes = spark.createDataFrame([(k, len(s), jaccard.parity(s)) for k, s in enumerate(sets)], "node bigint, size bigint, bitmap binary")
+    placed = spark.createDataFrame([(1, k, 0 if k < 20 else k) for k in range(90)], "list bigint, node bigint, component bigint")
+    want = set()
+    for a in range(90):
+        for b in range(max(a + 1, 20), 90):
+            m, n = len(sets[a]), len(sets[b])
+            overlap = (m + n - jaccard.least_difference(jaccard.parity(sets[a]), jaccard.parity(sets[b]))) // 2
+            if overlap * 100 >= 75 * (m + n - overlap) and min(m, n) * 100 >= max(m, n) * 75:
+                want.add((a, b))
+    for part in (4096, 16):
+        monkeypatch.setattr(jaccard, "LIST_PART", part)
+        found = [tuple(r) for r in jaccard.across(placed, nodes, 75).collect()]
+        assert len(found) == len(set(found)) and set(found) == want and want
 
 
 def test_chains_find_shared_passages(docs):
@@ -256,7 +321,12 @@ def test_warc(spark, tmp_path):
     assert data[:4] == bytes.fromhex("5d2a4d18")
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("group", [None, 400])
+def test_nearest(spark, monkeypatch, group):
+    if group:  # many cells, many blocks in each
+        monkeypatch.setattr(neighbours, "QUERY_GROUP", 50)
+        monkeypatch.setattr(neighbours, "CANDIDATE_GROUP", group)
+        monkeypatch.setattr(neighbours, "CANDIDATE_BLOCK", 5)
     draw = np.random.default_rng(2)
     rows = [(k, draw.normal(size=9).astype(np.float32).tolist(), k) for k in range(300)]
     rows[7] = (7, rows[8][1], 7)  # a tie
