@@ -326,8 +326,9 @@ def verified(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, words: int, p
     return met.mapInArrow(work, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): n_links counts the other rows that a row's set is similar enough to."""
+def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): n_links counts the other rows that a row's set is similar enough to.
+    Without ``count_links`` that column is left out; components are the same."""
     spark = docs.sparkSession
     known = materialised(facts(docs, words), "jaccard-facts")
     rows = known.where("bitmap is not null")
@@ -382,16 +383,13 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> Da
 
     per_node = chosen.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = per_node.groupBy("component").agg(F.min("first").alias("component_id"))
+    placed = per_node.join(least, "component").select("node", "component_id", "copies")
+    out = ["doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    if not count_links:
+        return rows.join(placed, "node", "left").select(*out)
     degree = degrees(docs, members, labels, links, chosen, words, percent)
-    per_node = per_node.join(least, "component").join(degree, "node", "left").select(
-        "node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
-    return rows.join(per_node, "node", "left").select(
-        "doc_id",
-        F.col("size").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-    )
+    placed = placed.join(degree, "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    return rows.join(placed, "node", "left").select(*out, F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def split(placed: DataFrame) -> DataFrame:
