@@ -41,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     row = unused(docs.columns, "near_row")
     rows = materialised(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
-    found = jaccard.jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"))
+    found = jaccard.jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), count_links=False)
     placed = found.select(F.col("doc_id").alias("number"), "component_id")
     ids = rows.select(F.col(row).alias("number"), F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("rank"))
     first = placed.join(ids, "number").groupBy("component_id").agg(F.min("rank").alias("rank"))
