@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from math import ceil, log2
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +13,8 @@ from corpuspack.functions.text import anchor_slug, split_name
 from corpuspack.operators.ordered import rank_within
 from corpuspack.session import materialised
 
-#: Families of clashing directories up to this size are resolved in one task each.
-FAMILY_ROWS = 1_000_000
+#: A stem that reads as another one with a number of its own, from 2 on; longer numbers are never reached.
+_NUMBERED = r"(?s)\A(.*)-([2-9]|[1-9][0-9]{1,8})\z"
 
 
 def repeated_anchors(files: DataFrame) -> DataFrame:
@@ -40,82 +43,133 @@ def _numbered(stem: Column, number: Column) -> Column:
     return F.concat(stem, F.lit("-"), number.cast("string"), F.lit(".md"))
 
 
-def _resolve_family(dirs: pd.DataFrame) -> pd.DataFrame:
-    """Names of one family of directories, taken in directory order.
+def _clashes(named: DataFrame) -> DataFrame:
+    """(repo, stem, child, number, n_rows, before): stems ``stem-number`` that directories have of themselves.
 
-    What is taken stays taken, so each base goes on from the number that it came to.
-    """
-    dirs = dirs.sort_values("sort_key")
-    used: set[str] = set()
-    reached: dict[str, int] = {}
-    names = []
-    for base in dirs.base:
-        name = base
-        if name in used:
-            stem, number = base.removesuffix(".md"), reached.get(base, 2)
-            while (name := f"{stem}-{number}.md") in used:
-                number += 1
-            reached[base] = number + 1
-        used.add(name)
-        names.append(name)
-    return dirs.assign(output=names)[["repo", "dir_key", "output"]]
-
-
-def _resolve_in_rounds(rows: DataFrame) -> DataFrame:
-    """The same names without gathering a family: every round is one aggregate and one join.
-
-    Of the directories that want a name, the first in order keeps it; the others try their
-    next number. A name only ever passes to an earlier directory, so once nobody has to
-    move, each directory has the first name that no earlier one took.
+    ``n_rows`` directories have ``stem``, ``before`` of them precede the first that has ``child``.
     """
-    wanted = F.when(F.col("nth") == 1, F.col("base")).otherwise(_numbered(_stem(F.col("base")), F.col("nth")))
-    while True:
-        rows = materialised(rows.select("repo", "dir_key", "base", "nth", wanted.alias("output")), "rounds")
-        keepers = rows.groupBy("repo", "output").agg(F.min("dir_key").alias("keeper"))
-        moved = rows.join(keepers, ["repo", "output"]).withColumn("moves", F.col("dir_key") != F.col("keeper"))
-        if moved.where("moves").isEmpty():
-            return rows.select("repo", "dir_key", "output")
-        rows = moved.withColumn("nth", F.col("nth") + F.col("moves").cast("int"))
-
+    stems = materialised(
+        named.groupBy("repo", "stem").agg(F.count("*").alias("n_rows"), F.min("dir_key").alias("first_key")), "stems"
+    )
+    children = stems.where(F.col("stem").rlike(_NUMBERED)).select(
+        "repo",
+        F.regexp_extract("stem", _NUMBERED, 1).alias("stem"),
+        F.col("stem").alias("child"),
+        F.regexp_extract("stem", _NUMBERED, 2).cast("long").alias("number"),
+        F.col("first_key").alias("dir_key"),
+    )
+    clashes = materialised(children.join(stems.select("repo", "stem", "n_rows"), ["repo", "stem"]), "clashes")
+    if clashes.isEmpty():
+        return clashes
+    rows = named.join(clashes.select("repo", "stem").distinct(), ["repo", "stem"], "left_semi")
+    both = rows.select("repo", "stem", "dir_key").unionByName(clashes, allowMissingColumns=True)
+    met = rank_within(both, ["repo", "stem"], ["dir_key"], "among_all").where("child is not null")
+    met = rank_within(met, ["repo", "stem"], ["dir_key"], "among_children")
+    before = F.col("among_all") - F.col("among_children")
+    return met.select("repo", "stem", "child", "number", "n_rows", before.cast("long").alias("before"))
 
-def _stem(base: Column) -> Column:
-    return F.regexp_replace(base, r"\.md\z", "")
 
+def _walk_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Who gets the number of each clash, for a stem that keeps its plain name (0) and for one that lost it (1).
 
-def split_names(dirs: DataFrame, family_rows: int = FAMILY_ROWS) -> DataFrame:
+    Clashes come by stem and number; all that is kept of a stem is how many numbers it has left out so far.
+    """
+    current, left_out = None, [0, 0]
+    for batch in batches:
+        out = {name: [] for name in ("taken", "skipped", "position")}
+        columns = (batch.column(name).to_pylist() for name in ("repo", "stem", "number", "n_rows", "before"))
+        for repo, stem, number, n_rows, before in zip(*columns):
+            if (repo, stem) != current:
+                current, left_out = (repo, stem), [0, 0]
+            taken, skipped, position = [], [], []
+            for lost in (0, 1):
+                free_below = number - 2 - left_out[lost]
+                skip = free_below >= max(0, before - 1 + lost)
+                taken.append(not skip and free_below < n_rows - 1 + lost)
+                skipped.append(skip)
+                position.append(free_below)
+                left_out[lost] += skip
+            for name, values in (("taken", taken), ("skipped", skipped), ("position", position)):
+                out[name].append(values)
+        arrays = [pa.array(out["taken"], pa.list_(pa.bool_())), pa.array(out["skipped"], pa.list_(pa.bool_()))]
+        arrays.append(pa.array(out["position"], pa.list_(pa.int64())))
+        kept = [batch.column(name) for name in ("repo", "stem", "child")]
+        yield pa.RecordBatch.from_arrays([*kept, *arrays], ["repo", "stem", "child", "taken", "skipped", "position"])
+
+
+def _displaced(walked: DataFrame) -> DataFrame:
+    """(repo, stem): stems whose plain name an earlier directory got as a numbered one.
+
+    Whether a stem loses its name depends on whether the stem before it lost its own: two answers for each clash. Such
+    functions are composed along chains of stems, over twice the distance in each round, so a chain of any length
+    takes as many rounds as its length has binary digits.
+    """
+    step = walked.select(
+        "repo", F.col("child").alias("stem"), F.col("stem").alias("above"), F.col("taken")[0].alias("if_kept"), F.col("taken")[1].alias("if_lost")
+    )
+    endings = F.regexp_extract("stem", r"((?:-[0-9]+)+)\z", 1)
+    depth = step.where("if_kept <> if_lost").agg(F.max(F.length(F.regexp_replace(endings, "[^-]", "")))).first()[0] or 0
+    for _ in range(ceil(log2(depth)) if depth > 1 else 0):
+        step = materialised(step, "displaced")
+        above = step.select(
+            "repo",
+            F.col("stem").alias("above"),
+            F.col("above").alias("further"),
+            F.col("if_kept").alias("above_kept"),
+            F.col("if_lost").alias("above_lost"),
+        )
+        through = lambda answer: F.when(F.col(answer), F.col("if_lost")).otherwise(F.col("if_kept"))
+        no_further = F.col("further").isNull()
+        step = step.join(above, ["repo", "above"], "left").select(
+            "repo",
+            "stem",
+            F.when(no_further, F.col("above")).otherwise(F.col("further")).alias("above"),
+            F.when(no_further, F.col("if_kept")).otherwise(through("above_kept")).alias("if_kept"),
+            F.when(no_further, F.col("if_lost")).otherwise(through("above_lost")).alias("if_lost"),
+        )
+    return step.where("if_kept").select("repo", "stem")
+
+
+def split_names(dirs: DataFrame) -> DataFrame:
     """Document name of each ``(repo, dir_key)``, unique within the repository.
 
-    A repeated base name is numbered by its rank in directory order. That is exact
-    unless a numbered name is itself the base name of a directory. Base names which differ
-    only in trailing numbers form a family, and only families where that happens are
-    resolved name by name: in one task each if the largest fits, in rounds otherwise.
+    The first directory of a base name keeps it, later ones get its next free number. Where no directory has a numbered
+    name of itself (``a``, ``a-2``), the number is the rank in directory order. Elsewhere:
+
+    * The numbers that directories of a stem get rise, and leave out those that another directory took before. Which ones
+      these are follows from the first directories of the stems ``stem-number`` alone, in one pass by number.
+    * A stem loses its plain name if the stem before it came to that number first; see ``_displaced``.
+    * Numbers left out and directories, merged by position, are ranked: the rank is the number. No stem, and no
+      family of stems, is gathered.
     """
-    based = dirs.select("repo", "dir_key", split_name(F.col("dir_key")).alias("base"))
-    ranked = rank_within(based, ["repo", "base"], ["dir_key"], "nth")
-    stem = _stem(F.col("base"))
-    named = ranked.select(
-        "repo",
-        "dir_key",
-        "base",
-        "nth",
-        F.regexp_replace(stem, r"(-[0-9]+)+\z", "").alias("family"),
-        F.when(F.col("nth") == 1, F.col("base")).otherwise(_numbered(stem, F.col("nth"))).alias("output"),
-    )
-    named = materialised(named, "names")
-    bases = named.select("repo", F.col("base").alias("output")).distinct()
-    clashing = (
-        named.where("nth > 1").join(bases, ["repo", "output"], "left_semi").select("repo", "family").distinct()
+    base = split_name(F.col("dir_key"))
+    stems = dirs.select("repo", "dir_key", F.regexp_replace(base, r"\.md\z", "").alias("stem"))
+    named = materialised(rank_within(stems, ["repo", "stem"], ["dir_key"], "nth"), "names")
+    name = lambda number: F.when(number == 1, F.concat("stem", F.lit(".md"))).otherwise(_numbered(F.col("stem"), number))
+    clashes = _clashes(named)
+    if clashes.isEmpty():
+        return named.select("repo", "dir_key", name(F.col("nth")).alias("output"))
+    by_number = clashes.repartition("repo", "stem").sortWithinPartitions("repo", "stem", "number")
+    schema = "repo string, stem string, child string, taken array<boolean>, skipped array<boolean>, position array<bigint>"
+    walked = materialised(by_number.mapInArrow(_walk_numbers, schema), "numbers")
+    displaced = materialised(_displaced(walked).withColumn("lost", F.lit(1)), "displaced")
+
+    lost = F.coalesce("lost", F.lit(0))
+    number = F.col("nth") + lost
+    placed = named.join(displaced, ["repo", "stem"], "left").select("repo", "dir_key", "stem", number.alias("number"))
+    contested = walked.select("repo", "stem").distinct()
+    plain = placed.join(contested, ["repo", "stem"], "left_anti").unionByName(
+        placed.where("number = 1").join(contested, ["repo", "stem"], "left_semi")
     )
-    clashes = named.join(clashing, ["repo", "family"], "left_semi")
-    largest = clashes.groupBy("repo", "family").count().agg(F.max("count")).first()[0]
-    if largest is None:
-        return named.select("repo", "dir_key", "output")
-    plain = named.join(clashing, ["repo", "family"], "left_anti").select("repo", "dir_key", "output")
-    if largest > family_rows:
-        return plain.unionByName(_resolve_in_rounds(clashes))
-    resolved = (
-        clashes.select("repo", "family", "dir_key", "base", F.encode("dir_key", "UTF-8").alias("sort_key"))
-        .groupBy("repo", "family")
-        .applyInPandas(_resolve_family, "repo string, dir_key string, output string")
+    left_out = (
+        walked.join(displaced, ["repo", "stem"], "left")
+        .where(F.element_at("skipped", lost + 1))
+        .select("repo", "stem", F.element_at("position", lost + 1).alias("position"), F.lit(1).alias("kind"))
     )
-    return plain.unionByName(resolved)
+    wanting = placed.where("number > 1").join(contested, ["repo", "stem"], "left_semi")
+    wanting = wanting.select("repo", "dir_key", "stem", (F.col("number") - 1).cast("long").alias("position"), F.lit(0).alias("kind"))
+    # a number left out with p free ones below it comes after the p-th directory
+    merged = wanting.unionByName(left_out, allowMissingColumns=True)
+    ranked = rank_within(merged, ["repo", "stem"], ["position", "kind"], "rank").where("kind = 0")
+    ranked = ranked.select("repo", "dir_key", "stem", (F.col("rank") + 1).alias("number"))
+    return plain.unionByName(ranked).select("repo", "dir_key", name(F.col("number")).alias("output"))

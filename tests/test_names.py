@@ -1,9 +1,6 @@
 import random
-import time
 
-import pandas as pd
-
-from corpuspack.operators.names import _resolve_family, split_names, with_anchors
+from corpuspack.operators.names import split_names, with_anchors
 from corpuspack.operators.ordered import rank_within
 
 
@@ -62,10 +59,10 @@ def serial_names(dirs):
     return names
 
 
-def named(spark, repos, **options):
+def named(spark, repos):
     df = spark.createDataFrame([(r, d) for r, ds in repos.items() for d in ds], "repo string, dir_key string")
     got = {}
-    for row in split_names(df, **options).collect():
+    for row in split_names(df).collect():
         got.setdefault(row.repo, {})[row.dir_key] = row.output
     return got
 
@@ -79,7 +76,6 @@ def test_split_names(spark):
     }
     expected = {r: serial_names(ds) for r, ds in repos.items()}
     assert named(spark, repos) == expected
-    assert named(spark, repos, family_rows=0) == expected
 
 
 def test_split_names_on_random_directories(spark):
@@ -90,14 +86,55 @@ def test_split_names_on_random_directories(spark):
         repos[f"r{i}"] = sorted({p.strip("/") for p in pool if "//" not in p and p.strip("/")})
     expected = {r: serial_names(ds) for r, ds in repos.items()}
     assert named(spark, repos) == expected
-    assert named(spark, repos, family_rows=0) == expected
 
 
-def test_a_large_family_is_resolved_in_linear_time():
-    bases = ["a.md"] * 200_000 + ["a-7.md"]
-    keys = [f"{i:07d}" for i in range(len(bases))]
-    dirs = pd.DataFrame({"repo": "r", "dir_key": keys, "base": bases, "sort_key": keys})
-    started = time.monotonic()
-    names = _resolve_family(dirs)["output"].tolist()
-    assert time.monotonic() - started < 20
-    assert names[:3] == ["a.md", "a-2.md", "a-3.md"] and names[-2:] == ["a-200000.md", "a-7-2.md"]
+def test_split_names_on_nested_numbers(spark):
+    rng = random.Random(23)
+    repos = {}
+    for i in range(60):
+        pool = set()
+        for _ in range(rng.randint(5, 40)):
+            stem = "a" + "".join(f"-{rng.choice([2, 2, 3, 4, 10])}" for _ in range(rng.randint(0, 4)))
+            # equal stems at any place of the order
+            pool.add(rng.choice(["x/y/z/", "x.y/z/", "x/y.z/", "x.y.z/", "x/y/z.", "x.y.z."]) + stem)
+        repos[f"r{i}"] = sorted(pool)
+    assert named(spark, repos) == {r: serial_names(ds) for r, ds in repos.items()}
+
+
+def test_numbers_that_are_no_plain_numbers_are_names(spark):
+    repos = {"r": ["a.b", "a/b", "a/b-02", "a/b-1", "a/b-0", "a/b-2x", "a/b-99999999999999999999", "-2", "a/b-2\n", "a\n.b", "a\n/b", "a\n/b-2"]}
+    assert named(spark, repos) == {r: serial_names(ds) for r, ds in repos.items()}
+
+
+def test_a_long_chain_of_displaced_names(spark):
+    # each stem takes the plain name of the next one
+    chain = ["p.a", "p/a"] + ["p/a" + "-2" * n for n in range(1, 40)]
+    taken_far = ["q.a", "q/a"] + [f"q.a-{n}" for n in range(2, 3000)]
+    repos = {"chain": chain, "far": taken_far}
+    got = named(spark, repos)
+    assert got == {r: serial_names(ds) for r, ds in repos.items()}
+    assert got["chain"][chain[-1]] == "p.a" + "-2" * 40 + ".md"
+    assert got["far"]["q/a"] == "q.a-3000.md"
+
+
+def test_many_equal_names_in_bounded_rounds(spark):
+    # 2^15 directories of one base, every third number taken before or after
+    wide = ["".join(f"{'./'[(n >> bit) & 1]}d" for bit in range(15)) for n in range(1 << 15)]
+    wide = ["r" + d for d in wide]
+    base = "r" + ".d" * 15
+    dirs = wide + [f"{base}-{n}" for n in range(3, 40_000, 3)]
+    got = named(spark, {"r": dirs})["r"]
+    assert len(set(got.values())) == len(dirs)
+    used, reached, expected = set(), 2, {}
+    for d in sorted(dirs):
+        stem = d.replace("/", ".")
+        if stem not in used:
+            expected[d] = stem
+        elif stem == base:
+            while f"{base}-{reached}" in used:
+                reached += 1
+            expected[d] = f"{base}-{reached}"
+        else:
+            expected[d] = f"{stem}-2"
+        used.add(expected[d])
+    assert got == {d: name + ".md" for d, name in expected.items()}
