@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from corpuspack.llm.common import FLUSH_BYTES, kept_in_worker, rows_of
 
 #: Characters of a text, and bytes of a match, that are encoded without halving.
-TEXT_LEAF = 1 << 16
-MATCH_LEAF = 64
+TEXT_LEAF = 1024
+MATCH_LEAF = 16
 #: Bytes up to which merges are found by scanning all neighbours.
 SCANNED = 24
 #: Matches remembered by a worker, in two halves: when the newer half is full, it becomes the older one.
@@ -187,10 +187,12 @@ class Bpe:
         return ids
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
-        reach = 1
+        if self.fits(left[-1], right[0]):
+            return left + right
+        reach = 2
         while True:
             i, j = max(0, len(left) - reach), min(len(right), reach)
-            window = self.merged(self.decode(left[i:] + right[:j]))
+            window = self.walked(self.decode(left[i:] + right[:j]))
             if (i == 0 or self.fits(left[i - 1], window[0])) and (
                 j == len(right) or self.fits(window[-1], right[j])
             ):

@@ -281,7 +281,7 @@ def vocabulary():
     return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("leaves", [(1 << 16, 64), (7, 4)])
+@pytest.mark.parametrize("leaves", [(bpe.TEXT_LEAF, bpe.MATCH_LEAF), (1 << 16, 64), (7, 4), (5, 1)])
 def test_bpe_joins(vocabulary, leaves):
     ranks, peer = vocabulary
     own = bpe.Bpe(ranks, public_tokenizers.PATTERN, *leaves)
@@ -292,6 +292,30 @@ def test_bpe_joins(vocabulary, leaves):
         assert own.decode(own.encode(text)) == text.encode()
 
 
+def test_bpe_goes_through_the_tree(spark, vocabulary):
+    ranks, peer = vocabulary
+    own = bpe.Bpe(ranks, public_tokenizers.PATTERN)
+    counts = {"joined": 0, "combined": 0}
+
+    def counting(name):
+        method = getattr(own, name)
+
+        def call(*args):
+            counts[name] += 1
+            return method(*args)
+
+        return call
+
+    for name in counts:
+        setattr(own, name, counting(name))
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect()]
+    halved = sum(len(text) > bpe.TEXT_LEAF for text in texts)
+    for text in texts:
+        assert own.encode(text) == peer.encode_ordinary(text)
+    # every text over a leaf is joined from halves, and so are long matches
+    assert halved and counts["combined"] >= halved and counts["joined"] > 0
+
+
 def test_bpe_documents(docs, vocabulary):
     ranks, peer = vocabulary
     found = bpe.decode_ids(bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN), ranks).collect()
