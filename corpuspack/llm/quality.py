@@ -1,22 +1,24 @@
 """Quality classifier: Bradley-Terry ranking from preference pairs, thresholded by a quantile of scores.
 
 Each labelled good document is preferred to each labelled bad one. A linear strength is learnt by logistic loss on
-differences of features over such pairs. The quantile of strengths that corresponds to the share of bad labels becomes
-the threshold; scores are logistic in the distance to it, so that a score of THRESHOLD lies there.
+differences of features over such pairs. The quantile of strengths that corresponds to the share of bad labels, taken
+exactly over all labelled rows that aren't held out, becomes the threshold; scores are logistic in the distance to it, so
+that a score of THRESHOLD lies there.
 
 Features describe a whole text: shares of kinds of characters, words, repeats and lines. Labels, language, source and
 ids are never among them. Training uses a bounded sample, TRAINED rows of each label, those with the smallest hashes
 of their doc_id, and never a row that is held out: one whose crc32(doc_id as text) is a multiple of FOLDS.
 
 Null and empty texts have features of their own and a score like any other. A null doc_id isn't held out (its remainder
-is null, so it counts as false) and has no label. A doc_id with several labels trains with each; of rows that repeat a doc_id, the least text does. Texts of any length
+is null, so it counts as false) and has no label. A doc_id with several labels trains with each; of rows that repeat a doc_id, the least text does, while
+each such row counts for the threshold. Texts of any length
 are used whole. If either label has no row to learn from, all strengths are equal and everything scores 0.5. Other columns aren't used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 
 from corpuspack.llm.common import forget_in_worker
 from corpuspack.llm.shingles import Words
+from corpuspack.session import materialised
 
 #: Rows of each label that training takes at most.
 TRAINED = 4000
 #: Preference pairs drawn for each round of training.
 PAIRS = 40_000
+#: Bins into which a pass over the strengths divides the range that holds the quantile.
+BINS = 4096
 FOLDS, THRESHOLD = 5, 0.3
 
 N_KINDS = 8
@@ -138,17 +143,21 @@ def learn(good: np.ndarray, bad: np.ndarray, penalty: float = 1e-3, rounds: int
     return Ranker(mean, scale, weights, 0.0)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, trained: int = TRAINED) -> tuple[DataFrame, dict[int, int]]:
-    """(quality, text) of the bounded sample, and how many rows each label has to learn from."""
-    known = labels.select("doc_id", "quality").where("quality in (0, 1)").where(~held_out())
-    shares = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+def learnable(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): labels that may be learnt from."""
+    return labels.select("doc_id", "quality").where("quality in (0, 1)").where(~held_out())
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, trained: int = TRAINED) -> DataFrame:
+    """(doc_id, quality, text) of the bounded sample."""
+    known = learnable(labels)
     one = lambda q: known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(trained)
     chosen = one(0).union(one(1))
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     # At most 2 * TRAINED ids: a bound, so they are sent to where the texts are.
     met = texts.join(F.broadcast(chosen), F.col("id") == F.col("doc_id"))
     # Rows that repeat a doc_id count once, or they would not be bounded.
-    return met.groupBy("doc_id", "quality").agg(F.min("text").alias("text")), shares
+    return met.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 
 def described(df: DataFrame) -> DataFrame:
@@ -167,21 +176,51 @@ def described(df: DataFrame) -> DataFrame:
     return df.mapInPandas(work, schema)
 
 
+def nth_smallest(numbers: DataFrame, column: str, n: int) -> tuple[float, float]:
+    """The n-th smallest number, n from 1 to their count, and the one after it (the same, if there is none).
+
+    Each pass counts what falls into BINS bins of the range that holds the number, and goes on in one bin. A bin's range
+    shrinks to its own least and greatest number, so a few passes come down to a single one; only bins reach the driver.
+    """
+    value = F.col(column)
+    low, high = numbers.agg(F.min(value), F.max(value)).first()
+    below = 0
+    while low < high:
+        at = F.least(F.floor((value - low) / (high - low) * BINS), F.lit(BINS - 1))
+        bins = numbers.where(value.between(low, high)).groupBy(at.alias("bin"))
+        for found in sorted(bins.agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).collect()):
+            if below + found["n"] >= n:
+                low, high = found["low"], found["high"]
+                break
+            below += found["n"]
+    up_to, following = numbers.agg(F.count_if(value <= low), F.min(F.when(value > low, value))).first()
+    return low, low if up_to > n or following is None else following
+
+
+def threshold(docs: DataFrame, labels: DataFrame, ranker: Ranker) -> float:
+    """Halfway between the strengths that the share of bad labels divides, over all rows that have labels to learn from."""
+    strengths = docs.where(~held_out()).select("doc_id", strength_of(ranker)("text").alias("strength"))
+    met = materialised(strengths.join(learnable(labels), "doc_id").select("strength", "quality"), "strengths")
+    low, high = nth_smallest(met, "strength", met.where("quality = 0").count())
+    return (low + high) / 2
+
+
+def strength_of(ranker: Ranker):
+    @F.pandas_udf("double")
+    def strength(text: pd.Series) -> pd.Series:
+        describe = Describer()
+        return pd.Series(ranker.strength(np.array([describe(t) for t in text]).reshape(-1, len(FEATURES))))
+
+    return strength
+
+
 def train(docs: DataFrame, labels: DataFrame, trained: int = TRAINED) -> Ranker:
-    sample, shares = training_rows(docs, labels, trained)
-    rows = described(sample).orderBy("quality", "doc_id").toPandas()
+    rows = described(training_rows(docs, labels, trained)).orderBy("quality", "doc_id").toPandas()
     by = {q: np.array(rows.loc[rows["quality"] == q, "features"].tolist()).reshape(-1, len(FEATURES)) for q in (0, 1)}
     ranker = learn(by[1], by[0])
     if not len(by[0]) or not len(by[1]):
         return ranker
-    # The threshold cuts off the share of bad labels, each label weighing as it does among all labelled rows.
-    strengths = np.concatenate([ranker.strength(by[q]) for q in (0, 1)])
-    weights = np.concatenate([np.full(len(by[q]), shares[q] / len(by[q])) for q in (0, 1)])
-    order = np.argsort(strengths, kind="stable")
-    up_to = np.cumsum(weights[order])
-    at = min(int(np.searchsorted(up_to, shares[0])), len(order) - 1)
-    low, high = strengths[order[at]], strengths[order[min(at + 1, len(order) - 1)]]
-    return Ranker(ranker.mean, ranker.scale, ranker.weights, float((low + high) / 2))
+    return replace(ranker, threshold=threshold(docs, labels, ranker))
 
 
 def scored(docs: DataFrame, ranker: Ranker) -> DataFrame:

@@ -1,5 +1,6 @@
 """Ids too large for doubles beside nulls, repeated ids, and columns of the operators' own names."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -46,7 +47,7 @@ def test_quality_ids(spark):
 def test_repeated_labelled_rows_are_bounded(spark):
     docs = table(spark, [(7, f"text {k}", "s") for k in range(50)] + [(8, "other", "s")])
     labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id bigint, quality int")
-    rows, _ = quality.training_rows(docs, labels)
+    rows = quality.training_rows(docs, labels)
     assert sorted((r["doc_id"], r["text"]) for r in rows.collect()) == [(7, "text 0"), (8, "other")]
 
 
@@ -136,3 +137,28 @@ def test_no_rows(spark):
     assert extraction.texts_of(extraction.learn([(extraction.Forest.of([extraction.Page("<p>x")]), np.array([0, 0, 1]))]), [""]) == [""]
     vectors = spark.createDataFrame([], "vec_id bigint, embedding array<double>")
     assert neighbours.nearest(vectors, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_threshold_lies_at_the_share_of_bad_labels_of_all_rows(spark):
+    draw = random.Random(8)
+    words = lambda n, low: " ".join(draw.choice(["ab", "cd", "$#", "##"] if low else ["word", "text", "rows"]) for _ in range(n))
+    table = [(i, words(20 + i % 7, i % 3 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id bigint, quality int")
+    ranker = quality.train(docs, labels, trained=20)  # the sample is much smaller than what the threshold covers
+    learnt = quality.learnable(labels).collect()
+    of = dict(table)
+    describe = quality.Describer()
+    strengths = sorted(float(ranker.strength(describe(of[r["doc_id"]])[None])[0]) for r in learnt)
+    bad = sum(r["quality"] == 0 for r in learnt)
+    assert ranker.threshold == pytest.approx((strengths[bad - 1] + strengths[bad]) / 2, rel=1e-9)
+
+
+def test_nth_smallest(spark):
+    draw = random.Random(4)
+    values = [draw.choice([0.0, -1.5, 1e6, -1e6, 1e-12, draw.gauss(0, 1), draw.gauss(0, 1e-9)]) for _ in range(300)]
+    numbers = spark.createDataFrame([(v,) for v in values], "v double")
+    values.sort()
+    for n in (1, 120, 300):
+        assert quality.nth_smallest(numbers, "v", n) == (values[n - 1], values[min(n, 299)])
+    assert quality.nth_smallest(numbers.where("v = 0"), "v", 3) == (0.0, 0.0)
