@@ -144,12 +144,19 @@ def risen(nodes: DataFrame, largest: int, *kept: str) -> list[DataFrame]:
         nodes = rounds[-1].select("tree", total, F.col("run").alias("place"), F.col("top").alias("leaf"))
 
 
-def _beside(digests: Column, at: Column) -> Column:
-    """What lies before and after a node among the ARITY children of its parent."""
+def _beside(nodes: Column, at: Column, digests=lambda found: found) -> Column:
+    """What lies before and after a node among the ARITY children of its parent. ``digests`` of the nodes found."""
     first = at - F.pmod(at, F.lit(ARITY))
-    before = F.slice(digests, first + 1, at - first)
-    after = F.slice(digests, at + 2, F.lit(ARITY - 1) - (at - first))
-    return F.struct(_joined(before).alias("before"), _joined(after).alias("after"))
+    before = F.slice(nodes, first + 1, at - first)
+    after = F.slice(nodes, at + 2, F.lit(ARITY - 1) - (at - first))
+    return F.struct(_joined(digests(before)).alias("before"), _joined(digests(after)).alias("after"))
+
+
+def _way(own: Column) -> Column:
+    """A node of a slot array, and what lies beside it and beside its parent."""
+    at = own["slot"]
+    low = _beside(F.col("slots"), at, lambda found: found["leaf"])
+    return F.struct(own.alias("own"), low.alias("low"), _beside(F.col("level"), F.floor(at / ARITY).cast("int")).alias("high"))
 
 
 def descended(rounds: list[DataFrame], paths: DataFrame, *kept: str) -> DataFrame:
@@ -159,12 +166,12 @@ def descended(rounds: list[DataFrame], paths: DataFrame, *kept: str) -> DataFram
     for number, one in reversed([*enumerate(rounds)]):
         above = paths.select(F.col("tree").alias("of"), F.col("place").alias("node"), F.col("path").alias("beyond"))
         met = one.join(above, (F.col("tree") == F.col("of")) & (F.col("run") == F.col("node")))
-        met = met.select("tree", "total", "run", F.col("slots.leaf").alias("digests"), "level", "beyond", F.explode("slots").alias("own"))
-        at = F.col("own.slot")
-        low, high = _beside(F.col("digests"), at), _beside(F.col("level"), F.floor(at / ARITY).cast("int"))
+        # what lies beside a node is cut out first: a row for each must not take its whole run along
+        met = met.select("tree", "total", "run", "beyond", F.explode(F.transform("slots", _way)).alias("way"))
+        low, high, at = F.col("way.low"), F.col("way.high"), F.col("way.own.slot")
         steps = F.when(F.col("total") == 1, F.col("beyond")).when(F.col("total") <= ARITY, F.concat(F.array(low), "beyond"))
         place = (F.col("run") * SPAN + at).alias("place")
-        paths = met.select("tree", place, steps.otherwise(F.concat(F.array(low, high), "beyond")).alias("path"), "own")
+        paths = met.select("tree", place, steps.otherwise(F.concat(F.array(low, high), "beyond")).alias("path"), F.col("way.own").alias("own"))
     return paths.select("tree", "place", "path", "own.leaf", *(f"own.{c}" for c in kept))
 
 

@@ -116,3 +116,16 @@ def test_query_and_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     told = con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({ORACLE['op11_manifest']})").fetchall()
     assert got == sorted(told) and {r[-1] for r in got} == {True, False}
+
+
+def test_rows_of_nodes_leave_their_run_behind(spark):
+    """A row for each node must not carry the digests of all nodes of its array."""
+    made = merkle.manifest(spark.createDataFrame(rows_of(range(300), ["s", "t"] * 150), SCHEMA))
+
+    def generated(node):
+        own = [node.output().mkString(" ")] if node.nodeName() == "Generate" else []
+        below = node.children()
+        return own + [x for k in range(below.size()) for x in generated(below.apply(k))]
+
+    found = generated(made._jdf.queryExecution().optimizedPlan())
+    assert found and not any(name in x for x in found for name in ("slots", "digests", "level"))
