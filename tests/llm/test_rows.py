@@ -1,5 +1,6 @@
 """Ids too large for doubles beside nulls, repeated ids, and columns of the operators' own names."""
 
+import os
 import random
 from collections import Counter
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuspack.llm import exact, extraction, jaccard, mixing, neighbours, quality, warc
+from corpuspack.llm import common, exact, extraction, jaccard, mixing, neighbours, quality, warc
 
 BIG = 1 << 60
 SCHEMA = (
@@ -162,3 +163,26 @@ def test_nth_smallest(spark):
     for n in (1, 120, 300):
         assert quality.nth_smallest(numbers, "v", n) == (values[n - 1], values[min(n, 299)])
     assert quality.nth_smallest(numbers.where("v = 0"), "v", 3) == (0.0, 0.0)
+
+
+def test_forgetting_gives_memory_back():
+    """Also what lies below memory that is still in use."""
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+    held = [np.ones(60_000, np.uint8) for _ in range(3000)]
+    del held[:-1]
+    before = resident()
+    common.forget_in_worker()
+    assert before - resident() > 100
+
+
+@pytest.mark.parametrize("asked, kept", [("10000", "1024"), ("0", "1024"), ("500", "500")])
+def test_pipeline_keeps_batches_small(spark, asked, kept):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, asked)
+        docs = spark.range(3000).selectExpr("id doc_id", "concat('text ', id) text")
+        assert corpus_pipeline.encode(spark, docs, "").count() == 3000
+        assert spark.conf.get(name) == kept
+    finally:
+        spark.conf.set(name, before)
