@@ -412,3 +412,52 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(after.collect(), after.schema)
     assert exact.exact_duplicates(docs).where("not kept").count() == 0
     assert jaccard.jaccard_components(docs).where("component_id <> doc_id").count() == 0
+
+
+def test_chains_connect_texts_whatever_the_first_one_holds(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: ["w" + "".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n)]
+    line = words(22)
+    shared = [words(60) for _ in range(2)]
+    texts = []
+    for k in range(24):
+        # a line that all have, and after it one of two passages, or neither; every fifth word differs, so only the line has seeds
+        after = [words(1)[0] if n % 5 == 4 else w for n, w in enumerate(shared[k % 4])] if k % 4 < 2 else words(60)
+        texts.append(" ".join(words(150) + line + after + words(150)))
+    for order in (texts, texts[::-1]):
+        docs = spark.createDataFrame([*enumerate(order)], "doc_id bigint, text string")
+        found = chains.shared_passages(docs).collect()
+        assert all(r["similarity"] >= 0.75 and min(r["words"], r["other_words"]) >= 50 for r in found)
+        near = {k: k for k in range(24)}
+        for r in found:
+            old, new = near[r["doc_id"]], near[r["other_id"]]
+            near = {k: new if v == old else v for k, v in near.items()}
+        kind = lambda k: (23 - k if order is not texts else k) % 4
+        for k in range(24):
+            for m in range(24):
+                assert (near[k] == near[m]) == (k == m or kind(k) == kind(m) and kind(k) < 2), (k, m)
+
+
+def test_bounds_of_texts_of_a_seed():
+    rng = np.random.default_rng(6)
+    pieces = []
+    words = chains.Words()
+    base = rng.integers(0, 400, 120)
+    for _ in range(60):
+        own = rng.integers(0, 400, 150)
+        size, at = rng.integers(20, 90), rng.integers(0, 30)
+        own[at : at + size] = np.where(rng.random(size) < 0.12, rng.integers(0, 400, size), base[at : at + size])
+        pieces.append(chains.Piece(words, " ".join(f"w{x}" for x in own).encode(), 0))
+    codes = [x.codes for x in pieces]
+    owner, tokens, kinds = chains.pairs_of_words(codes)
+    counts = np.concatenate([m for _, m in chains.shared_counts(owner, tokens, 60, 7)])
+    found = 0
+    for x in range(60):
+        want = [Counter(zip(codes[x], codes[x][1:])) & Counter(zip(c, c[1:])) for c in codes]
+        assert all(counts[x, y] == sum(c.values()) for y, c in enumerate(want) if y != x)
+        may = chains.dense(codes, kinds, np.full(60, x), np.arange(60))
+        for y in range(60):
+            if x != y and chains.passages(pieces[x], pieces[y]):
+                found += 1
+                assert counts[x, y] >= chains.MIN_PAIRS and may[y]
+    assert found > 100
