@@ -461,3 +461,106 @@ def test_bounds_of_texts_of_a_seed():
                 found += 1
                 assert counts[x, y] >= chains.MIN_PAIRS and may[y]
     assert found > 100
+
+
+def test_runs_of_matched_words_equal_matches_word_by_word():
+    def plain(one, other):
+        """Matched words: pairs of words that occur once on either side, rising, grown over equal neighbours."""
+        sides = [list(zip(x, x[1:])) for x in (one, other)]
+        once = [{g: k for k, g in enumerate(side) if side.count(g) == 1} for side in sides]
+        met = sorted((once[0][g], once[1][g]) for g in once[0].keys() & once[1].keys())
+        anchors = [met[k] for k in chains.longest_rising([j for _, j in met])]
+        out = []
+        for number, (x, y) in enumerate(anchors):
+            done_x, done_y = out[-1] if out else (-1, -1)
+            if x <= done_x or y <= done_y:
+                x, y = x + 1, y + 1
+                if x <= done_x or y <= done_y:
+                    continue
+            p, q, left = x - 1, y - 1, []
+            while p > done_x and q > done_y and one[p] == other[q]:
+                left.append((p, q))
+                p, q = p - 1, q - 1
+            out += left[::-1]
+            stop_x, stop_y = anchors[number + 1] if number + 1 < len(anchors) else (len(one), len(other))
+            while x < len(one) and y < len(other) and one[x] == other[y] and x <= stop_x and y <= stop_y:
+                out.append((x, y))
+                x, y = x + 1, y + 1
+        return out
+
+    def best(pairs, words):
+        """Stretches of matched words, word by word."""
+        out, start, score = [], None, 0
+        for k, (i, j) in enumerate(pairs):
+            if start is not None:
+                score -= chains.UNMATCHED * (max(i - pairs[k - 1][0], j - pairs[k - 1][1]) - 1)
+            if start is None or score <= 0 or top - score > words:
+                out += [] if start is None else [(start, end)]
+                start, end, score, top = k, k, 0, 0
+            score += 1
+            if score >= top:
+                end, top = k, score
+        out += [] if start is None else [(start, end)]
+        spans = [(*(z for side in zip(pairs[x], pairs[y]) for z in side), y - x + 1) for x, y in out]
+        return [s for s in spans if min(s[1] - s[0], s[3] - s[2]) + 1 >= words]
+
+    draw, words, seen = random.Random(8), chains.Words(), 0
+    for turn in range(400):
+        kinds, size = draw.choice([(4, 30), (12, 40), (60, 80), (400, 120)])
+        one = [draw.randrange(kinds) for _ in range(draw.randrange(size))]
+        other = [draw.randrange(kinds) if draw.random() < 0.15 else w for w in one if draw.random() < 0.97]
+        if turn % 3 == 0:
+            other = other[len(other) // 2 :] + other[: len(other) // 2]
+        a, b = (chains.Piece(words, " ".join(f"w{x}" for x in side).encode(), 0) for side in (one, other))
+        runs = chains.aligned(a, b)
+        assert [(x + k, y + k) for x, y, n in runs for k in range(n)] == (pairs := plain(one, other))
+        assert chains.stretches(runs, 8) == best(pairs, 8)
+        seen += len(pairs) > 10
+        grams = [Counter(zip(x, x[1:])) for x in (one, other)]
+        assert a.shared(b) == sum((grams[0] & grams[1]).values())
+    assert seen > 100
+
+
+def test_texts_of_seeds_that_share_no_passage_are_not_aligned(monkeypatch):
+    """Seeds are compared many at a time, and like one by one; only texts that may share a passage are aligned."""
+    draw, calls = random.Random(9), []
+    new = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    line, shared = new(20), new(60)
+    aligned = chains.aligned
+    monkeypatch.setattr(chains, "aligned", lambda *x: calls.append(1) or aligned(*x))
+
+    def group(seed, sharing, of):
+        texts = [f"{new(70)} {line} {shared if k < sharing else new(60)} {new(20)}" for k in range(of)]
+        return [(seed, 0, 0, 1000 * seed + k, t.index(line), k, 0, 0, t.encode()) for k, t in enumerate(texts)]
+
+    alone = [group(seed, 0, 12) for seed in range(6)] + [group(6, 0, chains.FEW + 9)]
+    assert not list(chains.connecting(chains.Words(), alone[:6])) and not list(chains.connecting(chains.Words(), alone[6:])) and not calls
+    some = [group(seed, 4, 12) for seed in range(6)]
+    found = list(chains.connecting(chains.Words(), some))
+    assert sorted(found) == sorted(row for x in some for row in chains.connecting(chains.Words(), [x]))
+    # components of a seed are those of that seed alone
+    assert len(found) == 6 * 3 and len(calls) == 2 * 6 * 3
+    large = group(9, 4, chains.FEW + 9)
+    monkeypatch.setattr(chains, "ROWS", 7)
+    apart = list(chains.connecting(chains.Words(), [large]))
+    monkeypatch.setattr(chains, "FEW", 1000)
+    assert len(apart) == 3 and {x for row in apart for x in row[:2]} == {x for row in chains.connecting(chains.Words(), [large]) for x in row[:2]}
+
+
+def test_shared_counts_with_those_that_follow():
+    draw = np.random.default_rng(3)
+    cells = np.unique(draw.integers(0, 90 * 400, 9000))
+    owner, tokens = cells // 400, np.where(cells % 400 < 40, 0, cells % 400)
+    keep = np.unique(owner * 400 + tokens)
+    owner, tokens = keep // 400, keep % 400
+    whole = np.concatenate([m for _, m in chains.shared_counts(owner, tokens, 90, 7)])
+    for first, counts in chains.shared_counts(owner, tokens, 90, 7, after=True):
+        for k, row in enumerate(counts):
+            assert (row[k + 1 :] == whole[first + k, first + k + 1 :]).all()
+
+
+def test_words_of_texts(spark):
+    texts = ["", "a", " a", "a ", " \t\n\x0b\x0c\r", "a  b\nc", " ", "ä ö ü", "x\x1cy", "w " * 70, " ", "b"] * 20
+    table = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").coalesce(1)
+    got = {r[0]: r[1] for r in table.select("doc_id", chains.word_counts("text")).collect()}
+    assert got == {k: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for k, t in enumerate(texts)}
