@@ -564,3 +564,15 @@ def test_words_of_texts(spark):
     table = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").coalesce(1)
     got = {r[0]: r[1] for r in table.select("doc_id", chains.word_counts("text")).collect()}
     assert got == {k: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for k, t in enumerate(texts)}
+
+
+def test_components_of_a_path_take_few_rounds(spark, monkeypatch):
+    from corpuspack.llm import components
+
+    draw, written = random.Random(2), []
+    nodes = draw.sample(range(10**6), 120)
+    write = components.materialised
+    monkeypatch.setattr(components, "materialised", lambda df, label: written.append(label) or write(df, label))
+    links = spark.createDataFrame([*zip(nodes, nodes[1:]), (7, 7)], "a bigint, b bigint")
+    found = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
+    assert found == {x: min(nodes) for x in nodes} and len(written) <= 14
